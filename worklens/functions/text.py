@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .numeric import col
 
@@ -78,7 +79,7 @@ def _folded(text: str) -> str:
     return " ".join(re.sub(r"[^a-z0-9\s]", " ", plain.casefold()).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold_unicode(texts: pd.Series) -> pd.Series:
     return texts.map(_folded, na_action="ignore")
 
