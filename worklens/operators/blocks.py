@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 2048
+PACK = 256
 
 
 def _block(id_col: str, blocks: str) -> Column:
@@ -26,7 +27,7 @@ def _blocks(left: DataFrame, right: DataFrame, keys: list[str], size: int) -> Da
     rows = left.groupBy(*keys).agg(n.alias("__cl")).join(
         right.groupBy(*keys).agg(n.alias("__cr")), keys)
     blocks = lambda c: F.ceil(F.col(c) / F.lit(float(size))).cast("int")
-    packs = F.ceil(F.sum(F.greatest("__cl", "__cr")) / F.lit(float(size))).alias("__packs")
+    packs = F.ceil(F.sum(F.greatest("__cl", "__cr")) / F.lit(float(PACK))).alias("__packs")
     return (
         rows.join(F.broadcast(rows.agg(packs)))
         .withColumn("__pack", F.pmod(F.xxhash64(*keys), F.col("__packs")))
@@ -43,8 +44,8 @@ def compare_blocks(
     """``compare`` on every (left block, right block) of each group; groups with an empty
     side yield nothing. Keys must not be NULL.
 
-    Small groups travel in packs of about ``size`` rows: a thousand groups of two rows cost a
-    few tasks' calls, not a thousand.
+    Small groups travel in packs of about ``PACK`` rows: a thousand groups of two rows cost a
+    handful of calls, not a thousand.
     """
     blocks = _blocks(left, right, keys, size)
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -65,4 +66,9 @@ def compare_blocks(
         return pd.concat(found) if found else pd.DataFrame(columns=columns)
 
     by = ["__pack", "__l", "__r"]
-    return lefts.groupBy(*by).cogroup(rights.groupBy(*by)).applyInPandas(run, schema)
+    # Few bytes, much arithmetic: asked for by number, so AQE does not merge the tasks by size.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        lefts.repartition(tasks, *by).groupBy(*by)
+        .cogroup(rights.repartition(tasks, *by).groupBy(*by)).applyInPandas(run, schema)
+    )
