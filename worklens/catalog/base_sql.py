@@ -45,7 +45,7 @@ joined AS (
 )"""
 
 WORKS = f"""
-works AS (
+keyed_works AS (
   SELECT concat_ws('|', l_orderkey::VARCHAR || '-' || l_linenumber || '-' || l_partkey, ls_term,
                    s_name) AS work_key,
     l_orderkey AS order_id, p_name || ' ' || lower(p_type) AS description, ls_term,
@@ -65,6 +65,10 @@ works AS (
     upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2)
       || 's' AS sector
   FROM joined
+), works AS (
+  SELECT * FROM keyed_works QUALIFY row_number() OVER (PARTITION BY work_key
+    ORDER BY sanctioned_amount, expenditure, work_status, actual_completion NULLS FIRST,
+      has_images NULLS FIRST) = 1
 )"""
 
 PAYMENTS = f"""

@@ -145,7 +145,7 @@ def unkeyed_works(t):
 
 
 @query("duplicate_keys", "P3 P10", """SELECT work_key, count(*) AS rows FROM (
-  SELECT concat_ws('|', l_orderkey, ls_term, s_name) AS work_key FROM joined)
+  SELECT concat_ws('|', order_id, ls_term, implementing_agency) AS work_key FROM works)
 GROUP BY 1 HAVING count(*) > 1""")
 def duplicate_keys(t):
     short = ingest.work_key("order_id", "ls_term", "implementing_agency")

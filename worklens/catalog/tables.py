@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import detectors, ledger, vendors
+from ..operators import detectors, ingest, ledger, vendors
 from ..plans import scoring
 from ..session import cut
 from ..sources import fixtures
@@ -31,7 +31,9 @@ class Tables:
 
     @property
     def works(self) -> DataFrame:
-        return self._once("works", lambda: fixtures.works(self.spark, self.sf_dir), even=True)
+        # work_key is the identity of a loaded work: a key met twice is loaded once.
+        return self._once("works", lambda: ingest.one_per_key(
+            fixtures.works(self.spark, self.sf_dir), "work_key"))
 
     @property
     def payments(self) -> DataFrame:

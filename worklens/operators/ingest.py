@@ -162,6 +162,15 @@ def first_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return picked.select(*keys, "__row.*").select(*df.columns)
 
 
+def one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """One row per key where no file order tells which came first: the lowest by its values,
+    so that a rerun keeps the same one.
+    """
+    rest = [c for c in df.columns if c != key]
+    picked = df.groupBy(key).agg(F.min(F.struct(*rest)).alias("__row"))
+    return picked.select(key, "__row.*").select(*df.columns)
+
+
 def clean_payments(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(payments, one-row tally). Rows without vendor, agency or positive amount are dropped:
     an unusable payment is no work that failed to load.
