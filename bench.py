@@ -39,7 +39,7 @@ def main() -> None:
     times = {}
     started = time.time()
     tables = Tables(spark, SF_DIR)
-    for name in ("works", "payments", "members"):
+    for name in ("works", "payments", "members", "similarity"):
         getattr(tables, name)
     times["load"] = round(time.time() - started, 3)
     for name in HEADLINE:

@@ -18,8 +18,7 @@ FROM scored"""
 
 @query("score_works", "E2-E13 A2 A3 A5 J2 P27", SCORE_SQL)
 def score_works(t):
-    return scoring.score_works(t.works, t.payments, t.p, fixtures.similarity(t.works),
-                               use_forest=False)
+    return scoring.score_works(t.works, t.payments, t.p, t.similarity, use_forest=False)
 
 
 @query("scored_view", "S10 J1", """SELECT s.work_key, s.work_name, s.state, s.district,

@@ -43,10 +43,14 @@ class Tables:
     def members(self) -> DataFrame:
         return self._once("members", lambda: fixtures.members(self.spark, self.sf_dir))
 
+    @property
+    def similarity(self) -> DataFrame:
+        return self._once("similarity", lambda: fixtures.similarity(self.works))
+
     @property
     def scores(self) -> DataFrame:
         return self._once("scores", lambda: scoring.score_works(
-            self.works, self.payments, self.p, fixtures.similarity(self.works),
+            self.works, self.payments, self.p, self.similarity,
             use_forest=False))
 
     @property

@@ -11,7 +11,10 @@ CLEAR = "pending"
 
 def accepted(new: DataFrame, works: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, refused): refused rows carry why - a bad status or an unknown work."""
-    known = works.select("work_key").distinct().withColumn("__known", F.lit(True))
+    # Decisions are few and works many: the works are narrowed to the decided ones first.
+    asked = new.select("work_key").distinct()
+    known = works.select("work_key").join(asked, "work_key", "left_semi").distinct().withColumn(
+        "__known", F.lit(True))
     judged = new.join(known, "work_key", "left")
     reason = (
         F.when(~F.coalesce(F.col("status").isin(*DECISIONS, CLEAR), F.lit(False)),

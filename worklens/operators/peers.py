@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
+from ..session import cut
 from .quantiles import exact_percentiles
 
 PEER_KEYS = ["district", "sector"]
@@ -29,9 +30,11 @@ def peer_baseline(
 ) -> DataFrame:
     """Adds ``peer_median_cost``, ``peer_count`` and ``cost_deviation_pct``.
 
-    The deviation uses the already rounded median; thin groups deviate 0 by definition.
+    The deviation uses the already rounded median; thin groups deviate 0 by definition. The
+    statistics are cut first: their written size tells the planner whether they may be
+    broadcast, and then the works are joined without being shuffled.
     """
-    joined = works.join(peer_stats(works, keys, amount), list(keys), "left")
+    joined = works.join(cut(peer_stats(works, keys, amount), "peers"), list(keys), "left")
     median = F.col("peer_median_cost")
     deviation = rounded(
         F.try_divide(F.col(amount).cast("double") - median, median) * 100, 2)
@@ -53,4 +56,5 @@ def agency_delay_rate(
 
 
 def attach_delay_rate(works: DataFrame, late_days: int = 60) -> DataFrame:
-    return works.join(agency_delay_rate(works, late_days), "implementing_agency", "left")
+    rates = cut(agency_delay_rate(works, late_days), "delay-rates")
+    return works.join(rates, "implementing_agency", "left")

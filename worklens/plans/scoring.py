@@ -69,7 +69,7 @@ def score_works(
         frame = with_anomaly(frame)
     else:
         frame = frame.withColumn("iso_anomaly", F.lit(0.0))
-    profile = vendors.vendor_profile(payments, p) if payments is not None else None
+    profile = None if payments is None else cut(vendors.vendor_profile(payments, p), "profile")
     frame = vendors.attach_profile(base_features(frame, p), profile)
     frame = attach_similarity(frame, similarity)
     frame = frame.withColumns({
