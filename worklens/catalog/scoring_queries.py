@@ -6,7 +6,7 @@ from ..functions import numeric, risk
 from ..operators import detectors, peers, quantiles, vendors
 from ..plans import scoring
 from ..sources import fixtures
-from .base_sql import AS_OF, r, ramp
+from .base_sql import r, ramp
 from .registry import query
 
 SCORE_SQL = """SELECT work_key, delay_days, cost_deviation_pct, expenditure_ratio, sector,

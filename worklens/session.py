@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session may fall back to a temporary folder: on a cluster a
     machine-local path would be invisible to the other executors.
     """
-    named = spark.conf.get(CHECKPOINT_KEY, None)
+    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
