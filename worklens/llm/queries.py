@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import digest, mixing, quality
+from . import digest, mixing, quality, toxicity
 from .mixing_sql import MIX_SQL
 from .tables import read
 
@@ -36,3 +36,8 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_mixing", MIX_SQL)
 def mixing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"))
+
+
+@query("op6_toxicity")
+def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
