@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import digest, mixing, quality, toxicity
+from . import digest, mixing, quality, secret_spans, toxicity
 from .mixing_sql import MIX_SQL
+from .secret_sql import SECRET_SQL
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +42,8 @@ def mixing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_toxicity")
 def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op8_secrets", SECRET_SQL)
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans.secret_report(read(spark, sf_dir, "documents"))
