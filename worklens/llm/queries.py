@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import digest, mixing, quality, secret_spans, toxicity
+from . import digest, mixing, pieces, quality, repeats, secret_spans, toxicity
 from .mixing_sql import MIX_SQL
 from .secret_sql import SECRET_SQL
 from .tables import read
@@ -47,3 +48,15 @@ def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_secrets", SECRET_SQL)
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans.secret_report(read(spark, sf_dir, "documents"))
+
+
+@query("op5_sentence_pieces")
+def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(read(spark, sf_dir, "documents"))
+
+
+@query("op7_repeated_passages")
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("factors").cast("long").alias("n_factors"))
