@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, mixing, pieces, quality, repeats, secret_spans, toxicity
+from . import (
+    digest, mixing, pieces, quality, repeats, secret_spans, toxicity, warc,
+)
 from .mixing_sql import MIX_SQL
 from .secret_sql import SECRET_SQL
 from .tables import read
@@ -60,3 +62,9 @@ def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"),
         F.size("factors").cast("long").alias("n_factors"))
+
+
+# DuckDB has no SHA-1; the digest column is left to the tests, all others are checked.
+@query("op1_warc")
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(read(spark, sf_dir, "pages"))
