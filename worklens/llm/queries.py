@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    digest, mixing, pieces, quality, repeats, secret_spans, toxicity, warc,
+    digest, mixing, near_dup, pieces, quality, repeats, secret_spans, toxicity, warc,
 )
 from .mixing_sql import MIX_SQL
 from .secret_sql import SECRET_SQL
@@ -68,3 +68,8 @@ def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_warc")
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(read(spark, sf_dir, "pages"))
+
+
+@query("op2_near_duplicates")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(read(spark, sf_dir, "documents"))

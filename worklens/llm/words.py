@@ -83,8 +83,9 @@ class Words:
         return running(self.hash)
 
 
-def words(data: np.ndarray, at: np.ndarray) -> Words:
-    space = SPACE[data]
+def words(data: np.ndarray, at: np.ndarray, between: np.ndarray = SPACE) -> Words:
+    """The words of all texts; ``between`` tells which bytes part them."""
+    space = between[data]
     opens = np.zeros(len(data) + 1, bool)
     opens[at] = True
     inside = ~space
