@@ -155,12 +155,13 @@ def next_texts(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
                   for c, g in (("bucket", False), ("into", True)))
     dealt = dealt.select("id", "text", "fingerprint", F.explode(
         F.when(F.col("id").eqNullSafe(F.col("top")), F.array(own, again))
-        .otherwise(F.array(own))).alias("to"))
-    order = Window.partitionBy("to.bucket").orderBy(
-        "to.again", F.col("id").desc_nulls_last(), "text")
-    return (dealt.withColumn("next_text", F.lead("text").over(order))
-            .withColumn("next_fingerprint", F.lead("fingerprint").over(order))
-            .filter(~F.col("to.again")).drop("to"))
+        .otherwise(F.array(own))).alias("to")).select(
+        "id", "text", "fingerprint", "to.bucket", "to.again")
+    order = Window.partitionBy("bucket").orderBy(
+        "again", F.col("id").desc_nulls_last(), "text")
+    return dealt.select("*", F.lead("text").over(order).alias("next_text"),
+                        F.lead("fingerprint").over(order).alias("next_fingerprint")
+                        ).filter(~F.col("again"))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id",
