@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    digest, mixing, near_dup, pieces, quality, repeats, secret_spans, toxicity, warc,
+    digest, licenses, mixing, near_dup, pieces, quality, repeats, secret_spans, toxicity, warc,
 )
+from .license_sql import LICENSE_SQL
 from .mixing_sql import MIX_SQL
 from .secret_sql import SECRET_SQL
 from .tables import read
@@ -73,3 +74,8 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_near_duplicates")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(read(spark, sf_dir, "documents"))
+
+
+@query("op3_licenses", LICENSE_SQL)
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(read(spark, sf_dir, "documents"))
