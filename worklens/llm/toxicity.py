@@ -36,11 +36,13 @@ SAMPLE = 20_000
 MOST_TERMS = 256
 CANDIDATES = 2_000
 WINDOW = 8
-PREFIXES = (4, 5, 6)
-WORD_LEAST, PREFIX_LEAST, RATIO_LEAST = 5, 20, 3.0
+PREFIXES = (3, 4, 5, 6, 7, 8)
+WORD_LEAST, PREFIX_LEAST, RATIO_LEAST = 5, 20, 2.0
 #: Least share of the different toxic texts that a term must occur in.
 SHARE_LEAST = 0.02
 THRESHOLD = 0.3
+#: How a term is met in a text: once, twice or more often as it stands, with one edit, with two.
+LEVELS = 5
 QUOTES = "\"“”„«»"
 REPORTING = frozenset("said says wrote writes quoted quote called calls term word phrase sagte "
                       "schrieb zitat wort dit écrit mot cita dijo escribió palabra".split())
@@ -49,7 +51,7 @@ ADDRESS = frozenset("you your yours youre u ur du dich dir euch tu te toi vous t
 PRIOR = (-1.5, -0.75, 0.75)
 PRIOR_HITS = 50.0
 #: Weight of a misspelling that no labelled row has, and the least weight that counts.
-UNSEEN, COUNTS = 2.5, 1.5
+UNSEEN, COUNTS = 3.0, 2.6
 
 
 @dataclass
@@ -65,7 +67,7 @@ class Automaton:
 @dataclass
 class Model:
     automaton: Automaton | None
-    weights: np.ndarray   # of (term, edits)
+    weights: np.ndarray   # of (term, level)
     context: np.ndarray   # of the eight kinds of context
     prior: float
 
@@ -207,6 +209,20 @@ def hits(data: np.ndarray, at: np.ndarray, automaton: Automaton):
     return doc, automaton.term[state[found]], automaton.edits[state[found]], context
 
 
+def levels(doc: np.ndarray, term: np.ndarray, edits: np.ndarray, context: np.ndarray,
+           n_terms: int):
+    """Hits as one row for each text, term and level, with the plainest context among them."""
+    pair = doc * n_terms + term
+    level = edits + 2
+    exact = np.flatnonzero(edits == 0)
+    _, group, count = np.unique(pair[exact], return_inverse=True, return_counts=True)
+    level[exact] = np.minimum(count[group], 3) - 1
+    key, group = np.unique(pair * LEVELS + level, return_inverse=True)
+    plain = np.full(len(key), 7)
+    np.minimum.at(plain, group, context)
+    return key // LEVELS // n_terms, key // LEVELS % n_terms, key % LEVELS, plain
+
+
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -261,26 +277,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prior = math.log((toxic + 0.5) / (clean + 0.5)) if size["n"] else math.log(0.05)
     terms = lexicon(cut(counts, "toxic-words"), toxic, max(1, clean)) if toxic else []
     if not terms:
-        return Model(None, np.zeros((0, 3)), np.zeros(8), prior)
+        return Model(None, np.zeros((0, LEVELS)), np.zeros(8), prior)
     automaton = build(terms)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in chunks(batches, "text"):
-            doc, term, edits, context = hits(data, at, automaton)
+            doc, *seen = levels(*hits(data, at, automaton), len(terms))
             label = np.array(part.column("toxic"))[doc]
-            seen = np.unique(np.stack([doc, label, term, edits, context]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in seen[1:]],
-                                             ["toxic", "term", "edits", "context"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c.astype(np.int32)) for c in (label, *seen)],
+                ["toxic", "term", "level", "context"])
 
     seen = taught.select("toxic", F.col("text").cast("binary").alias("text")).mapInArrow(
-        found, "toxic int, term int, edits int, context int")
-    rows = seen.groupBy("toxic", "term", "edits", "context").count().collect()  # 48 a term at most
-    by_term, by_context = np.zeros((2, len(terms), 3)), np.zeros((2, 8))
+        found, "toxic int, term int, level int, context int")
+    rows = seen.groupBy("toxic", "term", "level", "context").count().collect()  # 80 a term at most
+    by_term, by_context = np.zeros((2, len(terms), LEVELS)), np.zeros((2, 8))
     for r in rows:
-        by_term[r["toxic"], r["term"], r["edits"]] += r["count"]
+        by_term[r["toxic"], r["term"], r["level"]] += r["count"]
         by_context[r["toxic"], r["context"]] += r["count"]
     weights = np.log((by_term[1] + 0.25) / max(1, toxic)) - np.log((by_term[0] + 0.25) / max(1, clean))
-    weights[by_term.sum(0) == 0] = UNSEEN
+    weights[by_term.sum(0) == 0] = np.where(np.arange(LEVELS) < 3, 0.0, UNSEEN)[
+        np.nonzero(by_term.sum(0) == 0)[1]]
+    weights[:, 1:3] = np.maximum(weights[:, 1:3], weights[:, :1])  # more hits tell no less
     prior_of = np.array([sum(p for p, bit in zip(PRIOR, (4, 2, 1)) if k & bit) for k in range(8)])
     share = [(by_context[k] + PRIOR_HITS / 8) / (by_context[k].sum() + PRIOR_HITS) for k in (0, 1)]
     return Model(automaton, weights, prior_of + np.log(share[1]) - np.log(share[0]), prior)
@@ -291,16 +309,14 @@ def scores(texts: pa.Array, model: Model) -> np.ndarray:
     if model.automaton is not None:
         batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), texts], ["k", "text"])
         for part, data, at in chunks(iter([batch]), "text"):
-            doc, term, edits, context = hits(data, at, model.automaton)
-            worth = model.weights[term, edits] + np.where(
-                model.weights[term, edits] > 0, model.context[context], 0.0)
-            # The best hit of a term counts for its text.
-            best: dict[tuple[int, int], float] = {}
-            for d, t, x in zip(doc.tolist(), term.tolist(), worth.tolist()):
-                best[d, t] = max(best.get((d, t), 0.0), x)
+            doc, term, level, context = levels(*hits(data, at, model.automaton), len(model.weights))
+            worth = model.weights[term, level]
+            worth = worth + np.where(worth > 0, model.context[context], 0.0)
+            # The best level of a term counts for its text.
+            best = np.full((len(at) - 1, len(model.weights)), -np.inf)
+            np.maximum.at(best, (doc, term), worth)
             rows = np.array(part.column("k"))
-            for (d, _), x in best.items():
-                out[rows[d]] += x if x >= COUNTS else 0.0
+            out[rows] += np.where(best >= COUNTS, best, 0.0).sum(axis=1)
     return 1.0 / (1.0 + np.exp(-np.clip(out, -30, 30)))
 
 
