@@ -1,0 +1,291 @@
+"""Operators that judge one text at a time: quality, secrets, licenses, toxicity, pieces, digests."""
+
+import hashlib
+import math
+import sys
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
+
+import brute  # noqa: E402
+import check  # noqa: E402
+from worklens.llm import (  # noqa: E402
+    ORACLES, QUERIES, digest, licenses, pieces, quality, secret_spans, toxicity,
+)
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_check(spark, name):
+    got = QUERIES[name](spark, SF).toPandas()
+    assert check.compare(got, check.oracle(SF).execute(ORACLES[name]).df()) == ""
+
+
+# Quality
+
+def _verdict(m):
+    whole = m["n_lines"]
+    failed = m["n_words"] < 50 or 100 * m["n_repeat_words"] > 50 * m["n_words"]
+    fine = (all(m["grams"][n] <= x for n, x in quality.GRAM_LIMITS.items())
+            and all(m["tops"][n] <= x for n, x in quality.TOP_LIMITS.items())
+            and (m["n_dup_lines"] / whole if whole else 0) <= quality.LINE_LIMIT
+            and m["n_symbols"] <= quality.SYMBOL_LIMIT * m["n_words"])
+    return failed, fine and not failed
+
+
+def test_quality_query_equals_brute_force(spark, docs):
+    got = {r.doc_id: r for r in QUERIES["op9_quality_rules"](spark, SF).collect()}
+    for r in docs.collect():
+        m, own = brute.quality(r.text), got[r.doc_id]
+        for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
+            assert own[c] == m[c], (r.doc_id, c)
+        assert math.isclose(own.gram_share, max(m["grams"].values()))
+        failed, kept = _verdict(m)
+        assert own.base_failed == failed
+        if own.line_char_share <= quality.LINE_CHAR_LIMIT:
+            assert own.kept == kept, r.doc_id
+        else:
+            assert not own.kept
+
+
+def test_quality_of_odd_rows(odd, none):
+    got = quality.quality_rules(odd).collect()
+    assert len(got) == 9
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    assert by[1][0].n_words == 0 and by[1][0].base_failed and not by[1][0].kept
+    assert by[5][0].n_words == 0 and by[6][0].word_chars == 7
+    assert by[4][0][1:] == by[4][1][1:] and by[4][0].n_words == 60_000
+    assert quality.quality_rules(none).count() == 0
+
+
+# Secrets
+
+def test_entropy_limit_is_that_of_the_windows(spark):
+    values = ["0123456789abcdef0123", "aaaaaaaaaaaaaaaaaaaa1", "x9Kq2LmZ7pRt5VwY8bNc4", "f" * 30 + "01"]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    for r in rows.select("v", secret_spans.evenness(F.col("v")).alias("least")).collect():
+        windows = [r["v"][k:k + 20] for k in range(len(r["v"]) - 19)]
+        most = max(brute.entropy(w) for w in windows)
+        assert abs((math.log2(20) - r["least"] / secret_spans.SCALE / 20) - most) < 1e-5
+
+
+def test_secret_spans_by_hand(spark):
+    cases = {
+        "say password = hunter22 now": "assign:4:23",
+        "token=ab secret=token:abcdefgh": "",  # the first value is short, the second ate the key
+        "Ünï API_KEY: 'abc.def-123' x": "assign:4:25",
+        "AKIA" + "A" * 16 + " AKIA" + "B" * 15: "access:0:20",
+        "f" * 24 + " " + "0" * 23: "hex:0:24",
+        "key x9Kq2LmZ7pRt5VwY8bNc4 end": "entropy:4:25",
+        "key example9Kq2LmZ7pRt5VwY8bNc4 end": "",
+        "Donaudampfschifffahrtsgesellschaft": "",
+        "password=x9Kq2LmZ7pRt5VwY8bNc4": "assign:0:30",
+    }
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_spans.secret_report(rows).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())
+
+
+def test_redaction(spark, odd, none):
+    rows = spark.createDataFrame([("a password=hunter22 b " + "f" * 24 + "! ñ",), ("clean",)], "text string")
+    assert {r.text for r in secret_spans.redacted(rows).collect()} == {"a [SECRET] b [SECRET]! ñ", "clean"}
+    assert sorted(map(str, secret_spans.redacted(odd).collect())) == sorted(map(str, odd.collect()))
+    assert secret_spans.redacted(odd).columns == odd.columns
+    report = {r.doc_id: r for r in secret_spans.secret_report(odd).collect()}
+    assert report[1].spans == "" and report[1].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert secret_spans.secret_report(none).count() == 0
+
+
+# Licenses
+
+def test_labels_by_hand(spark, odd, none):
+    notice = dict(licenses.NOTICES)
+    cases = [
+        ("It is under the MIT License, so. Under  the-mit license!", 2, 2, 7, "mit", "mit", 1.0),
+        ("CC-BY-NC and apache license, version 2.0", 2, 0, 4, "apache-2,cc-by-nc", "apache-2,cc-by-nc", 1.0),
+        ("x " * 50 + notice["mpl-2"] + " y" * 50, 0, None, None, "", "mpl-2", 1.0),
+        (notice["bsd"].replace("modification", "changes"), 0, None, None, "", "bsd", None),
+        ("İstanbul under the mit license", 1, 1, 1, "mit", "mit", 1.0),
+        ("under the smith license", 0, None, None, "", "", 0.0),
+    ]
+    rows = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "doc_id long, text string")
+    for r in licenses.license_report(rows).collect():
+        c = cases[r.doc_id]
+        assert (r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == c[1:6]
+        assert c[6] is None and 0.8 <= r.score < 1 or r.score == c[6]
+    got = licenses.license_report(odd).collect()
+    assert len(got) == 9 and {(r.labels, r.score) for r in got} == {("", 0.0)}
+    assert licenses.license_report(none).count() == 0
+
+
+def test_every_meeting_block_is_found(spark):
+    """Against all templates for all blocks, on texts made of template words."""
+    rng = np.random.default_rng(3)
+    found = licenses.templates()
+    texts = []
+    for k in range(60):
+        _, _, words = found[k % len(found)]
+        some = list(rng.choice(words, int(len(words) * rng.uniform(0.6, 1)) + 1, replace=False))
+        texts.append(" ".join(["the"] * int(rng.integers(0, 40)) + some + ["of"] * 5))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in licenses.license_report(rows).collect():
+        own, want = texts[r.doc_id].split(), set()
+        for label, size, words in found:
+            for block in range(-1, len(own) // size + 1):
+                block = set(own[max(0, block * size):(block + 2) * size])
+                if len(block & set(words)) >= 0.8 * len(words) - 1e-9:
+                    want.add(label)
+        assert set(filter(None, r.labels.split(","))) == want
+
+
+# Toxicity
+
+@given(st.lists(st.text("abcd", min_size=1, max_size=10), min_size=1, max_size=5, unique=True),
+       st.lists(st.text("abcde", min_size=1, max_size=12), min_size=1, max_size=20))
+@settings(max_examples=60, deadline=None)
+def test_automaton_equals_edit_distance(terms, words):
+    automaton = toxicity.build([(t, False) for t in terms])
+    text = " ".join(words).encode()
+    doc, term, edits, _ = toxicity.hits(np.frombuffer(text, np.uint8), np.array([0, len(text)]), automaton)
+    want = []
+    for w in words:
+        near = [(brute.edits(t, w), k) for k, t in enumerate(terms)
+                if brute.edits(t, w) <= toxicity.allowed(t, False)]
+        if near:
+            want.append(min(near))
+    assert [e for e, _ in want] == edits.tolist()
+    assert [k for _, k in want] == term.tolist()
+
+
+def test_beginnings_and_contexts():
+    automaton = toxicity.build([("grobi", True), ("scoundrel", False)])
+    texts = ["you grobians!", "grob", 'He said "scuondrel" twice', "Scoundrels \"", ""]
+    raw = "".join(texts).encode()
+    at = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    doc, term, edits, context = toxicity.hits(np.frombuffer(raw, np.uint8), at, automaton)
+    assert doc.tolist() == [0, 2, 3] and term.tolist() == [0, 1, 1]
+    assert edits.tolist() == [0, 1, 1]
+    assert context.tolist() == [1, 6, 0]
+
+
+def test_toxicity_of_held_out_rows(spark, odd, none):
+    sf = "/root/testdata/sf0.1"
+    told = toxicity.judged(spark.read.parquet(f"{sf}/documents.parquet"),
+                           spark.read.parquet(f"{sf}/labels.parquet")).join(
+        spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").toPandas()
+    right = told[told.toxic == told.predicted]
+    assert len(right) / len(told) > 0.95
+    assert told[told.toxic == 1].predicted.mean() > 0.85
+    labels = spark.createDataFrame([(1, 1), (3, 0), (None, 1), (6, None)], "doc_id long, toxic int")
+    got = toxicity.judged(odd, labels).collect()
+    assert len(got) == 9 and len({round(r.score, 9) for r in got}) == 1
+    assert toxicity.judged(odd, labels.limit(0)).filter("predicted = 1").count() == 0
+    assert toxicity.judged(none, labels).count() == 0
+    kept = toxicity.without_toxic(odd, toxicity.fit(odd, labels.limit(0)))
+    assert kept.columns == odd.columns and kept.count() == 9
+
+
+def test_remainder_of_the_id(spark):
+    import zlib
+    got = spark.range(200).select("id", toxicity.held_out(F.col("id")).alias("out")).collect()
+    assert all(r.out == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)
+
+
+# Pieces
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return pieces.load()
+
+
+@given(st.lists(st.text(st.sampled_from(" aehinstor\n\tüé日\U0001f642▁0#"), max_size=120), min_size=1,
+                max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_ids_equal_full_search(vocabulary, texts):
+    ids, at = pieces.encode_all(texts, vocabulary)
+    for k, t in enumerate(texts):
+        own = ids[at[k]:at[k + 1]].tolist()
+        assert own == brute.pieces(pieces.marked(t), vocabulary)
+        assert own == list(pieces.stream(pieces.marked(t), vocabulary))
+        assert pieces.decode(own, vocabulary) == t.replace("▁", " ")
+
+
+def test_a_long_run_is_given_out_as_it_is_read(vocabulary):
+    text = "ab" * 50_000
+    first = next(pieces.stream(text, vocabulary))
+    assert first == brute.pieces(text[:64], vocabulary)[0]
+    assert pieces.decode(pieces.stream(pieces.marked(text), vocabulary), vocabulary) == text
+
+
+def test_pieces_of_odd_rows(odd, none):
+    got = {r.doc_id: r for r in pieces.round_trip(odd).collect()}
+    assert all(r.exact for r in got.values()) and got[1].n_ids == 0
+    coded = pieces.with_ids(odd, out="bands")
+    assert coded.columns == [c for c in odd.columns] and coded.count() == 9
+    assert pieces.round_trip(none).count() == 0
+
+
+def test_pieces_query(spark):
+    assert QUERIES["op5_sentence_pieces"](spark, SF).filter("not exact").count() == 0
+
+
+# Digests
+
+def test_digest_query(spark, docs):
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    order = sorted(rows, reverse=True)
+    got = {r.doc_id: r for r in QUERIES["op4_fingerprints"](spark, SF).collect()}
+    same = {}
+    for k, i in enumerate(order):
+        text, following = rows[i], rows[order[(k + 1) % len(order)]]
+        half = len(text) // 2
+        edited = text[:len(text) - half] + following[:half]
+        own = got[i]
+        assert own.n_chars == len(text)
+        assert own.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        one, two, three = digest.digests(pa.array([t.encode() for t in (text, edited, following)])).to_pylist()
+        assert (own.fingerprint, own.edited_fingerprint) == (one, two)
+        near = digest.likenesses(pa.array([one, one]), pa.array([two, three])).to_pylist()
+        assert [own.near_edited, own.near_next] == near
+        assert same.setdefault(text, one) == one
+    assert np.mean([r.near_edited for r in got.values()]) > np.mean([r.near_next for r in got.values()]) + 0.2
+
+
+def test_counts_equal_a_plain_count():
+    texts = [b"", b"ab", b"abc", b"hello world", bytes(range(256)) * 3]
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    counts = digest._counts(np.frombuffer(b"".join(texts), np.uint8), at)
+    for row, t in zip(counts, texts):
+        assert row.sum() == sum(max(0, len(t) - b) for _, b in digest.TRIPLETS)
+        alone = digest._counts(np.frombuffer(t, np.uint8), np.array([0, len(t)])) if t else row
+        assert (row == alone.ravel()).all()
+
+
+def test_digests_of_odd_rows(odd, none):
+    got = digest.edited_fingerprints(odd).collect()
+    assert len(got) == 9
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    assert digest.edited_fingerprints(none).count() == 0
+    lone = digest.edited_fingerprints(odd.filter("doc_id = 6")).first()
+    assert lone.near_next == 1.0
+    # Small buckets deal out the same neighbours as one bucket.
+    rows = odd.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"),
+                      F.lit("f").alias("fingerprint"))
+    assert sorted(map(str, digest.next_texts(rows, rows=2).select("id", "next_text").collect())) == \
+        sorted(map(str, digest.next_texts(rows).select("id", "next_text").collect()))

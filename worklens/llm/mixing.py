@@ -10,8 +10,8 @@ comparison. A larger budget only raises the threshold, so mixes are nested.
 Defined results: a null text has size 0; a null source is a source of its own, after all
 others; rows without words follow their place like any other and add nothing; a source without
 words, like an empty table, takes nothing. Rows equal in id and text share a place, so they are
-taken alike. The nearest total wins; on a tie the smaller one. Further columns are carried
-through unchanged; columns whose names begin with ``mix_`` are not allowed.
+taken alike. The nearest total wins; on a tie the smaller one. ``mix`` carries further columns
+through, whatever their names.
 
 The source totals (one row a source) are ranked and levelled in one task; documents never are.
 """
@@ -150,9 +150,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` as often as the mix takes them, with the same columns."""
     rows = cut(sized(docs, id_col, text_col, source_col).drop("id"), "mix-sizes")
     plan = thresholds(rows, weights, share, most).select("mix_source", "mix_base", "mix_under")
-    placed = docs.withColumn("mix_place", place(F.col(id_col), F.col(text_col)))
-    placed = placed.join(plan, F.col(source_col).eqNullSafe(F.col("mix_source")))
-    times = copies(at="mix_place").cast("int")
-    return (placed.filter(times > 0)
-            .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), times)))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    placed = docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).alias("source"),
+                         place(F.col(id_col), F.col(text_col)).alias("place"))
+    times = copies().cast("int")
+    taken = placed.join(plan, same("source", "mix_source")).filter(times > 0)
+    return taken.select("row", F.explode(F.sequence(F.lit(1), times))).select("row.*")

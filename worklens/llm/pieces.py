@@ -17,7 +17,7 @@ Decoding joins the pieces, with runs of byte pieces read as UTF-8, turns marks i
 drops the space in front. Round trip: exact for every text without U+2581, which reads back as
 a space. Defined results: a null or empty text has no ids and decodes to empty text; texts of
 any length are read whole; repeated rows, null ids and empty tables need no case; ``with_ids``
-keeps further columns under their own names and refuses a column named as its output.
+keeps further columns under their own names, and replaces one named as its output.
 """
 
 from __future__ import annotations
@@ -357,9 +357,7 @@ def decoded(ids: Column, v: Vocabulary) -> Column:
 
 def with_ids(docs: DataFrame, text_col: str = "text", out: str = "ids",
              path: str = MODEL) -> DataFrame:
-    """``docs`` with the ids of each text."""
-    if out in docs.columns:
-        raise ValueError(f"there is a column {out} already")
+    """``docs`` with the ids of each text; a column of that name is replaced."""
     return docs.withColumn(out, encoded(F.col(text_col), load(path)))
 
 

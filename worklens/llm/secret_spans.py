@@ -11,8 +11,7 @@ of a fixed pattern, are left out.
 Places are code points, the end exclusive. Defined results: a null text is empty and has no
 spans, so its list is empty text; texts are read whole; equal places are ordered by kind;
 repeated rows, null ids and an empty table need no case. ``redacted`` keeps all columns of its
-input and needs no name of its own for long; columns beginning with ``secret_`` are refused by
-Spark as ambiguous. Overlapping spans are redacted as one.
+input, whatever their names, and a null text stays null. Overlapping spans are redacted as one.
 """
 
 from __future__ import annotations
@@ -103,25 +102,26 @@ def too_even(value: Column, classes=CLASSES, allow=ALLOW) -> Column:
 
 
 def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``secret_base`` and ``secret_more``: arrays of (start, kind, end, value)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    found = docs.select(*names, *[
-        F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"secret_hits{k}")
+    """The rows of ``docs`` as ``row``, their ``text``, and the spans of the fixed patterns
+    (``base``) and of the entropy rule (``more``): arrays of (start, kind, end, value)."""
+    text = F.col("text")
+    found = docs.select(F.struct(*docs.columns).alias("row"),
+                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = found.select("row", "text", *[
+        F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"hits{k}")
         for k, p in enumerate((ASSIGN, ACCESS, HEX, CANDIDATE))])
-    spans = [located(text, F.col(f"secret_hits{k}"), p, k)
-             for k, p in enumerate((ASSIGN, ACCESS, HEX))]
+    spans = [located(text, F.col(f"hits{k}"), p, k) for k, p in enumerate((ASSIGN, ACCESS, HEX))]
     good = [F.filter(spans[0], lambda s: F.length(F.regexp_extract(
                 s["value"], ASSIGN, 1)) >= VALUE_LEAST),
             F.filter(spans[1], lambda s: F.length(s["value"]) >= ACCESS_LEAST), spans[2]]
-    # Without a digit among the candidates nothing is left to place.
-    likely = F.exists("secret_hits3", lambda v: too_even(v))
-    found = found.withColumn("secret_base", F.array_sort(F.concat(*good)))
-    more = F.filter(located(text, F.col("secret_hits3"), CANDIDATE, 3), lambda s: too_even(
-        s["value"]) & ~F.exists("secret_base", lambda b: (b["start"] < s["end"])
+    found = found.withColumn("base", F.array_sort(F.concat(*good)))
+    # Without an uneven candidate nothing is left to place.
+    likely = F.exists("hits3", lambda v: too_even(v))
+    more = F.filter(located(text, F.col("hits3"), CANDIDATE, 3), lambda s: too_even(
+        s["value"]) & ~F.exists("base", lambda b: (b["start"] < s["end"])
                                 & (s["start"] < b["end"])))
-    more = F.when(likely, more).otherwise(_none())
-    return found.select(*names, "secret_base", more.alias("secret_more"))
+    return found.select("row", "text", "base",
+                        F.when(likely, more).otherwise(_none()).alias("more"))
 
 
 def listed(spans: Column) -> Column:
@@ -132,31 +132,31 @@ def listed(spans: Column) -> Column:
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: how many spans of each kind, and where all spans lie."""
-    found = with_spans(docs.select(F.col(id_col), F.col(text_col)), text_col)
+    found = with_spans(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
 
     def number(kind: int) -> Column:
-        return F.size(F.filter("secret_base", lambda s: s["kind"] == kind)).cast("long")
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
-        F.col(id_col), number(0).alias("n_assign"), number(1).alias("n_access"),
-        number(2).alias("n_hex"), F.size("secret_more").cast("long").alias("n_entropy"),
-        F.sha2(listed(F.col("secret_base")), 256).alias("base_sha256"),
-        listed(F.array_sort(F.concat("secret_base", "secret_more"))).alias("spans"))
+        F.col("row.id").alias(id_col), number(0).alias("n_assign"), number(1).alias("n_access"),
+        number(2).alias("n_hex"), F.size("more").cast("long").alias("n_entropy"),
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+        listed(F.array_sort(F.concat("base", "more"))).alias("spans"))
 
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of the text replaced by ``mark``; rows and columns stay."""
     found = with_spans(docs, text_col)
-    spans = F.array_sort(F.concat("secret_base", "secret_more"))
+    text = F.col("text")
 
     def add(state: Column, s: Column) -> Column:
         gap = F.when(s["start"] >= state["to"], F.concat(state["out"], F.substring(
-            F.col(text_col), state["to"] + 1, s["start"] - state["to"]), F.lit(mark)))
+            text, state["to"] + 1, s["start"] - state["to"]), F.lit(mark)))
         return F.struct(F.greatest(state["to"], s["end"]).alias("to"),
                         F.coalesce(gap, state["out"]).alias("out"))
     clean = F.aggregate(
-        spans, F.struct(F.lit(0).alias("to"), F.lit("").alias("out")), add,
-        lambda s: F.concat(s["out"], F.substring(
-            F.col(text_col), s["to"] + 1, F.length(F.col(text_col)))))
-    clean = F.when(F.size("secret_base") + F.size("secret_more") > 0, clean).otherwise(
-        F.col(text_col))
-    return found.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in docs.columns])
+        F.array_sort(F.concat("base", "more")),
+        F.struct(F.lit(0).alias("to"), F.lit("").alias("out")), add,
+        lambda s: F.concat(s["out"], F.substring(text, s["to"] + 1, F.length(text))))
+    clean = F.when(F.size("base") + F.size("more") > 0, clean).otherwise(F.col(f"row.`{text_col}`"))
+    return found.select(*[clean.alias(c) if c == text_col else F.col(f"row.`{c}`")
+                          for c in docs.columns])
