@@ -167,7 +167,8 @@ def compliance_missing_dates(t):
     WHEN contains(x, 'median') THEN 'Peer comparison'
     WHEN contains(x, 'vendor') THEN 'Herfindahl-Hirschman index'
     WHEN contains(x, 'beyond expected completion') THEN 'Published dates'
-    WHEN contains(x, 'payments still in progress') THEN 'Payment records'
+    WHEN contains(x, 'still in progress') THEN 'Payment records'
+    WHEN contains(x, 'delay rate') THEN 'Published dates'
     ELSE 'Stated compliance rule' END AS method
   FROM (SELECT lower(unnest(flagged_reasons)) AS x FROM scored)) GROUP BY 1""")
 def reason_methods(t):

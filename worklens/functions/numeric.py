@@ -12,7 +12,7 @@ def col(c) -> Column:
 
 def rounded(c, digits: int) -> Column:
     """Half-up rounding through DECIMAL, so that a double's last bit cannot flip a tie."""
-    return F.round(col(c).cast("decimal(24,8)"), digits).cast("double")
+    return F.round(col(c).cast("decimal(38,8)"), digits).cast("double")
 
 
 def ramp(value, floor: float, ceiling: float) -> Column:

@@ -263,7 +263,8 @@ def method_for(reason) -> Column:
         .when(text.contains("median"), "Peer comparison")
         .when(text.contains("vendor"), "Herfindahl-Hirschman index")
         .when(text.contains("beyond expected completion"), "Published dates")
-        .when(text.contains("payments still in progress"), "Payment records")
+        .when(text.contains("still in progress"), "Payment records")
+        .when(text.contains("delay rate"), "Published dates")
         .otherwise("Stated compliance rule")
     )
 

@@ -125,8 +125,8 @@ def member_key(name, state, house, ascii_only: bool = False) -> Column:
 
 
 def rule_pattern(keywords: list[str]) -> str:
-    """Whole words with an optional plural."""
-    return r"\b(?:" + "|".join(keywords) + r")(?:e?s)?\b"
+    """Whole words with an optional plural; a keyword is text, not a pattern."""
+    return r"(?<!\w)(?:" + "|".join(map(re.escape, keywords)) + r")(?:e?s)?(?!\w)"
 
 
 def classify(c, rules=SECTOR_RULES, normalized: bool = False, ascii_only: bool = False) -> Column:

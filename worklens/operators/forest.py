@@ -40,12 +40,12 @@ def _draw(df: DataFrame, features: list[str], key: str, trees: int, sample: int,
           seed: int) -> DataFrame:
     """(tree, hash, features) for the ``sample`` lowest hashes of every tree.
 
-    A hash threshold thins each tree to a few hundred candidates inside the scan; only those
-    are shuffled and ranked. With rows enough for every tree each row is offered to one tree,
-    at one hash per row; a smaller input is offered to all of them.
+    Every row is offered to every tree, at a hash for each. A hash threshold thins a tree to a
+    few hundred candidates inside the scan, twice as many as it draws; only those are shuffled
+    and ranked, so the draw is the same whatever the number of rows.
     """
     rows = df.count()
-    per_tree = 2 * sample + 64
+    candidates = 2 * sample + 64
 
     def draw(tree: Column) -> Column:
         return F.pmod(F.xxhash64(F.col(key), F.lit(seed), tree), F.lit(HASH_RANGE))
@@ -53,17 +53,9 @@ def _draw(df: DataFrame, features: list[str], key: str, trees: int, sample: int,
     values = df.select(
         F.col(key),
         *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
-    if rows >= trees * per_tree:
-        limit = int(trees * per_tree / rows * HASH_RANGE)
-        drawn = (
-            values.withColumn("h", draw(F.lit(-1))).filter(F.col("h") < limit)
-            .withColumn("tree", F.pmod(F.xxhash64(F.col("h"), F.lit(seed)), F.lit(trees))
-                        .cast("int"))
-        )
-    else:
-        limit = int(min(1.0, per_tree / max(rows, 1)) * HASH_RANGE)
-        chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < limit)
-        drawn = values.withColumn("tree", F.explode(chosen)).withColumn("h", draw(F.col("tree")))
+    limit = int(min(1.0, candidates / max(rows, 1)) * HASH_RANGE)
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < limit)
+    drawn = values.withColumn("tree", F.explode(chosen)).withColumn("h", draw(F.col("tree")))
     lowest = Window.partitionBy("tree").orderBy("h", key)
     return drawn.withColumn("place", F.row_number().over(lowest)).filter(F.col("place") <= sample)
 

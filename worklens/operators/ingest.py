@@ -37,10 +37,16 @@ def district(agency) -> Column:
 
 
 def iso_date(c) -> Column:
-    """ISO-8601 date or timestamp as a UTC date; anything else NULL."""
+    """ISO-8601 date or timestamp as a UTC date, whatever zone the session has; else NULL.
+
+    A time without a zone is UTC; one with a zone is counted in seconds since the epoch.
+    """
     text = F.trim(col(c))
     shaped = text.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$")
-    return F.when(shaped, text.try_cast("timestamp").cast("date"))
+    zoned = text.rlike(r"^\S+[T ].*([A-Za-z]|[+-]\d{1,2}(:?\d{2}){0,2})$")
+    days = F.floor(F.unix_micros(text.try_cast("timestamp")) / F.lit(86_400_000_000)).cast("int")
+    return F.when(shaped, F.when(zoned, F.date_from_unix_date(days)).otherwise(
+        text.try_cast("timestamp_ntz").cast("date")))
 
 
 def work_key(work_id, term, agency) -> Column:

@@ -67,7 +67,7 @@ def vendor_profile(payments: DataFrame, p: Params) -> DataFrame:
     share = F.when(spent > 0, F.col("top_spend") / spent * 100).otherwise(F.lit(0.0))
     return profile.withColumn("index", index).select(
         "implementing_agency", "ls_term", "vendor_count", "transaction_count",
-        F.round(F.col("total_spend").cast("decimal(24,8)"), 2).cast("double").alias("total_spend"),
+        F.round(F.col("total_spend").cast("decimal(38,8)"), 2).cast("double").alias("total_spend"),
         rounded("index", 4).alias("vendor_hhi"),
         "top_vendor",
         rounded(share, 2).alias("top_vendor_share_pct"),

@@ -70,5 +70,8 @@ class Params:
     # Rankings.
     agency_min_works: int = 10
 
+    # The term that sits now.
+    current_term: int = 18
+
     def but(self, **changes) -> "Params":
         return replace(self, **changes)

@@ -14,12 +14,12 @@ from ..functions.text import OTHER, boundary_key, clean_name, seat
 from ..operators.detectors import with_limits
 from ..operators.quantiles import exact_percentiles
 from ..params import Params
-from .queue import QUEUE_FLOOR, top_works
-
+from .queue import top_works
 
 
 def in_queue() -> Column:
-    return F.col("overall_risk_score") >= QUEUE_FLOOR
+    """The bands are cut by ``Params`` when works are scored, so the queue moves with them."""
+    return F.col("risk_level").isin("MEDIUM", "HIGH")
 
 
 def is_high() -> Column:
@@ -41,7 +41,8 @@ def _beside(*one_row: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------- headlines
 
 
-def overview(scored, payments, members, ls_term: int | None = None) -> DataFrame:
+def overview(scored, payments, members, ls_term: int | None = None,
+             late_days: int = Params.late_days) -> DataFrame:
     """Three money figures that are not interchangeable, and the counts beside them."""
     done = F.col("work_status") == "completed"
     works = _term(scored, ls_term).agg(
@@ -52,7 +53,7 @@ def overview(scored, payments, members, ls_term: int | None = None) -> DataFrame
         sum_where(done, "expenditure").alias("completed_works_value"),
         total("sanctioned_amount").alias("sanctioned_total"),
         count_where(is_high()).alias("high_risk_count"),
-        count_where(F.col("delay_days") > 60).alias("delayed_count"),
+        count_where(F.col("delay_days") > late_days).alias("delayed_count"),
         count_where(in_queue()).alias("anomaly_count"),
     )
     money = _term(payments, ls_term).agg(
@@ -133,7 +134,7 @@ def agency_ranking(scored, profile, p: Params, ls_term=None, limit=100, offset=0
     """Aggregate first, then join: the profile joins one row per (agency, term)."""
     stats = _term(scored, ls_term).groupBy("implementing_agency", "ls_term").agg(
         F.count(F.lit(1)).alias("total_projects"),
-        count_where(F.col("delay_days") > 60).alias("delayed_count"),
+        count_where(F.col("delay_days") > p.late_days).alias("delayed_count"),
         count_where(is_high()).alias("anomaly_count"),
         F.coalesce(mean_of("overall_risk_score", 4), F.lit(0.0)).alias("avg_risk_score"),
     ).filter(F.col("total_projects") >= p.agency_min_works)
@@ -261,12 +262,13 @@ def member_cards(directory: DataFrame, profiles: DataFrame | None = None) -> Dat
         F.col("high_risk_works").alias("high_risk"), "status", F.lit(False).alias("unlisted"))
 
 
-def with_unlisted(cards: DataFrame, unlisted: DataFrame, term: int) -> DataFrame:
+def with_unlisted(cards: DataFrame, unlisted: DataFrame, term: int,
+                  current: int = Params.current_term) -> DataFrame:
     """Sitting members without a fund record, in the current term only: no money at all."""
-    if term != 18:
+    if term != current:
         return cards
     extra = unlisted.select(
-        "id", F.lit(18).alias("term"), "name", "party", "party_short", "house", "seat", "state",
+        "id", F.lit(term).alias("term"), "name", "party", "party_short", "house", "seat", "state",
         "status", F.lit(0).cast("bigint").alias("works"),
         F.lit(0).cast("bigint").alias("in_queue"), F.lit(0).cast("bigint").alias("high_risk"),
         F.lit(True).alias("unlisted"))
@@ -319,10 +321,11 @@ def parties_by_size(cards: DataFrame) -> DataFrame:
             .orderBy(F.col("members").desc(), "party"))
 
 
-def member_count(members, unlisted: DataFrame, ls_term: int | None) -> DataFrame:
+def member_count(members, unlisted: DataFrame, ls_term: int | None,
+                 current: int = Params.current_term) -> DataFrame:
     """Members with a fund record, and in the current term those seated without one."""
     listed = _term(members, ls_term).agg(F.countDistinct("mp_id").alias("with_record"))
-    if ls_term == 17:
+    if ls_term not in (None, current):
         return listed.select("with_record", F.col("with_record").alias("members"))
     extra = unlisted.agg(F.count(F.lit(1)).alias("__u"))
     return _beside(listed, extra).select(
@@ -334,7 +337,9 @@ COMPARED = ["allocated", "committed", "paid", "idle", "works", "in_queue", "high
 
 def compare_members(cards: DataFrame, ids: list[str]) -> DataFrame:
     """Two to four members in long form: each figure and its bar against the row's largest."""
-    chosen = cards.filter(F.col("id").isin(*ids[:4]))
+    if not 2 <= len(ids) <= 4:
+        raise ValueError(f"two to four members are compared, not {len(ids)}")
+    chosen = cards.filter(F.col("id").isin(*ids))
     measures = F.explode(F.array(*[
         F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value"))
         for c in COMPARED]))

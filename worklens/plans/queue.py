@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import count_where, sum_where
 from ..functions.text import contains_text
+from ..params import Params
 
-QUEUE_FLOOR = 40.0
+QUEUE_FLOOR = Params.medium_from
 EXPORT_LIMIT, EXPORT_MAX = 5_000, 20_000
 
 QUEUE_COLUMNS = [
@@ -29,6 +30,25 @@ EXPORT_COLUMNS = [
 ]
 
 
+PAGE_MAX = 200
+STATUSES = ("pending", "verified", "dismissed", "escalated")
+SUBJECTS = ("agency", "mp")
+
+
+def within(limit: int, most: int) -> int:
+    """The limit, or an error: rows are never left out without a word."""
+    if not 0 <= limit <= most:
+        raise ValueError(f"limit {limit} is not between 0 and {most}")
+    return limit
+
+
+def known(name: str, value, allowed):
+    """The value, or an error if it is given and not one of those ``allowed``."""
+    if value and value not in allowed:
+        raise ValueError(f"{name} {value!r} is none of {', '.join(allowed)}")
+    return value
+
+
 def any_contains(columns: list[str], needle: str) -> Column:
     return reduce(lambda a, b: a | b, [contains_text(c, needle) for c in columns])
 
@@ -49,7 +69,7 @@ def alert_filters(
 ) -> DataFrame:
     """An empty string is a filter like any other here; only None leaves one out."""
     out = reviewed
-    if compliance == "breach":
+    if known("compliance", compliance, ("breach",)):
         out = out.filter(F.col("compliance_risk") > 0)
     if q:
         out = out.filter(any_contains(
@@ -59,20 +79,21 @@ def alert_filters(
                         ("risk_level", risk_level), ("ls_term", ls_term), ("mp_id", mp_id)):
         if value is not None:
             out = out.filter(F.col(name) == value)
-    if status:
+    if known("status", status, STATUSES):
         out = out.filter(F.col("review_status") == status)
     if min_score is not None:
         out = out.filter(F.col("overall_risk_score") >= float(min_score))
     return out
 
 
-def queue_scope(band: str | None = None, min_score: float | None = None) -> dict:
-    """No band: the queue (40 and above). ``ALL``: everything. A named band: no floor."""
+def queue_scope(band: str | None = None, min_score: float | None = None,
+                floor: float = QUEUE_FLOOR) -> dict:
+    """No band: the queue, from ``floor`` on. ``ALL``: everything. A named band: no floor."""
     if band == "ALL":
         return {"risk_level": None, "min_score": min_score}
     if band:
         return {"risk_level": band, "min_score": min_score}
-    return {"risk_level": None, "min_score": QUEUE_FLOOR if min_score is None else min_score}
+    return {"risk_level": None, "min_score": floor if min_score is None else min_score}
 
 
 def by_risk(df: DataFrame) -> DataFrame:
@@ -83,7 +104,7 @@ def queue_page(scored: DataFrame, verdicts: DataFrame, limit: int = 50, offset:
                **filters) -> DataFrame:
     page = by_risk(alert_filters(with_reviews(scored, verdicts), **filters))
     page = page.offset(offset) if offset else page
-    return page.limit(min(limit, 200)).select(
+    return page.limit(within(limit, PAGE_MAX)).select(
         *QUEUE_COLUMNS, "review_status", "review_note", "review_reviewer", "review_updated_at")
 
 
@@ -124,7 +145,7 @@ def export_queue(scored: DataFrame, verdicts: DataFrame, limit: int = EXPORT_LIM
                  min_score: float = QUEUE_FLOOR, **filters) -> DataFrame:
     """The filtered queue as flat rows: whitespace collapsed, so one record is one line."""
     rows = by_risk(alert_filters(with_reviews(scored, verdicts), min_score=min_score, **filters))
-    rows = rows.limit(min(limit, EXPORT_MAX))
+    rows = rows.limit(within(limit, EXPORT_MAX))
     flat = {"work_key", "work_name", "state", "district", "sector", "implementing_agency",
             "mp_name"}
     computed = {
@@ -164,7 +185,7 @@ def register_filters(scored: DataFrame, q=None, state=None, district=None, risk_
 def register_page(scored: DataFrame, limit: int = 50, offset: int = 0, **filters) -> DataFrame:
     page = by_risk(register_filters(scored, **filters))
     page = page.offset(offset) if offset else page
-    return page.limit(min(limit, 200)).select(
+    return page.limit(within(limit, PAGE_MAX)).select(
         "work_key", "work_name", "ls_term", "state", "district", "category", "sector",
         "implementing_agency", "sanctioned_amount", "overall_risk_score", "risk_level")
 
@@ -187,6 +208,7 @@ def ticker(scored: DataFrame, verdicts: DataFrame, n: int = 18, high_from: float
 
 def finding_filters(findings: DataFrame, code=None, subject_type=None, ls_term=None,
                     q=None) -> DataFrame:
+    known("subject_type", subject_type, SUBJECTS)
     out = findings
     for name, value in (("code", code), ("subject_type", subject_type), ("ls_term", ls_term)):
         if value:
@@ -198,4 +220,4 @@ def findings_page(findings: DataFrame, limit: int = 50, offset: int = 0, **filte
     page = finding_filters(findings, **filters).orderBy(
         F.col("severity").desc(), "code", "subject", "ls_term", "period")
     page = page.offset(offset) if offset else page
-    return page.limit(min(limit, 200))
+    return page.limit(within(limit, PAGE_MAX))

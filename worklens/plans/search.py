@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_name, text_position, text_rank
-from .queue import any_contains
+from .queue import any_contains, within
+
+WORKS_MAX = 20
 
 # How far each kind of entity sinks below an equal match of the kind before it.
 KIND_BIAS = {"State": 0.1, "District": 0.2, "Member": 0.3, "Agency": 0.4}
@@ -24,7 +26,7 @@ def search_works(scored: DataFrame, q: str, limit: int = 6) -> DataFrame:
         scored.filter(any_contains(["work_name", "implementing_agency", "mp_name"], q))
         .orderBy(text_rank("work_name", q), text_position("work_name", q),
                  F.coalesce("overall_risk_score", F.lit(0.0)).desc(), "work_key")
-        .limit(min(limit, 20))
+        .limit(within(limit, WORKS_MAX))
         .select("work_key", "work_name", "state", "district", "sector", "implementing_agency",
                 "mp_name", "sanctioned_amount", "overall_risk_score", "risk_level")
     )
