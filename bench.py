@@ -22,6 +22,8 @@ HEADLINE = [
     "monthly_trend", "gone_quiet", "compliance_book", "state_desk_districts",
     "district_desk_agencies", "current_verdicts", "unite_works", "rejected_works",
     "classify_sectors", "normalize_documents", "nearest_peer", "forest_anomaly",
+    "work_similarity", "score_works_models", "document_near_copies", "match_one_to_one",
+    "label_batches",
 ]
 
 
@@ -42,6 +44,11 @@ def main() -> None:
     for name in ("works", "payments", "members", "similarity"):
         getattr(tables, name)
     times["load"] = round(time.time() - started, 3)
+    # Tables that desks and queues read, each on a line of its own.
+    for name in ("scores", "scored", "profile", "findings", "verdicts"):
+        started = time.time()
+        getattr(tables, name)
+        times[f"table_{name}"] = round(time.time() - started, 3)
     for name in HEADLINE:
         started = time.time()
         callable_for(REGISTRY[name])(spark, SF_DIR).write.format("noop").mode("overwrite").save()

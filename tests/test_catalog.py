@@ -15,9 +15,6 @@ from worklens.catalog.tables import Tables  # noqa: E402
 from worklens.plans import desks, queue  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-# Checked against SQL at the larger scale by check.py; here they must run and return rows.
-HEAVY = {"match_one_to_one", "match_coverage", "unlisted_members", "directory_with_unlisted",
-         "member_count", "document_near_copies", "score_works_models", "work_similarity"}
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +34,7 @@ def test_query_equals_its_check(spark, con, name):
     assert check.compare(got, want) == ""
 
 
-@pytest.mark.parametrize("name", sorted(n for n, q in REGISTRY.items() if not q.sql and n not in HEAVY))
+@pytest.mark.parametrize("name", sorted(n for n, q in REGISTRY.items() if not q.sql))
 def test_query_runs(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 

@@ -270,39 +270,54 @@ def state_ranking(t):
 
 # ------------------------------------------------------- forecast and trends
 
-FORECAST = f"""rated AS (SELECT implementing_agency, count(*) AS open_n,
-    count(*) FILTER (expected_completion < {AS_OF}) AS overdue_n,
-    overdue_n::DOUBLE / open_n AS share
-  FROM works WHERE work_status = 'recommended' AND expected_completion IS NOT NULL
-  GROUP BY 1 HAVING count(*) >= 20
-), cut AS (SELECT quantile_cont(share, 0.75) AS c FROM rated
-), due AS (SELECT w.*, share, open_n, overdue_n FROM works w JOIN rated USING (implementing_agency),
-    cut WHERE work_status = 'recommended' AND expected_completion BETWEEN {AS_OF} AND {AS_OF} + 90
-    AND share >= c)"""
-
-
-@query("forecast_summary", "A18 J8", f"""SELECT (SELECT {r("c", 6)} FROM cut) AS cutoff_share,
-  (SELECT count(*) FROM rated) AS agencies_rated,
-  (SELECT count(*) FROM works WHERE work_status = 'recommended' AND expected_completion
-     BETWEEN {AS_OF} AND {AS_OF} + 90) AS due_in_window,
-  count(*) AS likely_late, count(DISTINCT implementing_agency) AS agencies,
-  {SANCTIONED} AS sanctioned, (SELECT {r("c * 100", 1)} FROM cut) AS cutoff_pct FROM due""",
+# From the definition: every open work says how its agency stands, the quartile is
+# interpolated between its two neighbours among the agencies in order.
+FORECAST = f"""unfinished AS (
+  SELECT *, CASE WHEN expected_completion < {AS_OF} THEN 1 ELSE 0 END AS late,
+    datediff('day', {AS_OF}, expected_completion) BETWEEN 0 AND 90 AS soon
+  FROM works WHERE work_status <> 'completed' AND expected_completion IS NOT NULL
+), standing AS (
+  SELECT *, sum(late) OVER agency AS agency_late, count(*) OVER agency AS agency_open,
+    row_number() OVER (PARTITION BY implementing_agency ORDER BY work_key) AS nth
+  FROM unfinished WINDOW agency AS (PARTITION BY implementing_agency)
+), ladder AS (
+  SELECT agency_late::DOUBLE / agency_open AS rung,
+    row_number() OVER (ORDER BY agency_late::DOUBLE / agency_open) - 1 AS step,
+    count(*) OVER () AS steps
+  FROM standing WHERE nth = 1 AND agency_open >= 20
+), quartile AS (
+  SELECT max(rung) FILTER (step <= 0.75 * (steps - 1)) AS below,
+    coalesce(min(rung) FILTER (step > 0.75 * (steps - 1)), max(rung)) AS above,
+    any_value(0.75 * (steps - 1) - floor(0.75 * (steps - 1)))::DOUBLE AS part,
+    below + (above - below) * part AS c, any_value(steps) AS agencies_rated FROM ladder
+), doubtful AS (
+  SELECT *, agency_late::DOUBLE / agency_open AS rung FROM standing
+  WHERE soon AND agency_open >= 20
+    AND agency_late::DOUBLE / agency_open >= (SELECT c FROM quartile))"""
+
+
+@query("forecast_summary", "A18 J8", f"""SELECT any_value({r("c", 6)}) AS cutoff_share,
+  any_value(agencies_rated) AS agencies_rated,
+  (SELECT count(*) FROM unfinished WHERE soon) AS due_in_window,
+  count(work_key) AS likely_late, count(DISTINCT implementing_agency) AS agencies,
+  {SANCTIONED} AS sanctioned, any_value({r("c * 100", 1)}) AS cutoff_pct
+FROM quartile LEFT JOIN doubtful ON true""",
        extra=FORECAST)
 def forecast_summary(t):
     return desks.late_forecast(t.scored, t.p)[0]
 
 
 @query("forecast_agencies", "A18 K4", f"""SELECT implementing_agency, min(state) AS state,
-  {r("max(share) * 100", 1)} AS overdue_pct, max(open_n) AS open_works,
-  max(overdue_n) AS overdue_works, count(*) AS due_works, {SANCTIONED} AS due_sanctioned,
-  min(expected_completion) AS next_due FROM due GROUP BY 1
-ORDER BY max(share) DESC, count(*) DESC, implementing_agency LIMIT 6""", extra=FORECAST)
+  {r("any_value(rung) * 100", 1)} AS overdue_pct, any_value(agency_open) AS open_works,
+  any_value(agency_late)::BIGINT AS overdue_works, count(*) AS due_works,
+  {SANCTIONED} AS due_sanctioned, min(expected_completion) AS next_due
+FROM doubtful GROUP BY 1 ORDER BY any_value(rung) DESC, count(*) DESC, implementing_agency LIMIT 6""", extra=FORECAST)
 def forecast_agencies(t):
     return desks.late_forecast(t.scored, t.p)[1]
 
 
-@query("agency_overdue_cut", "A18 F4", f"""SELECT count(*) AS n, {r("quantile_cont(share, 0.5)", 6)}
-  AS median_share, {r("quantile_cont(share, 0.75)", 6)} AS cut_share FROM rated""", extra=FORECAST)
+@query("agency_overdue_cut", "A18 F4", f"""SELECT count(*) AS n, {r("quantile_cont(rung, 0.5)", 6)}
+  AS median_share, {r("quantile_cont(rung, 0.75)", 6)} AS cut_share FROM ladder""", extra=FORECAST)
 def agency_overdue_cut(t):
     today = F.lit(t.p.as_of)
     rated = t.works.filter("work_status = 'recommended'").groupBy("implementing_agency").agg(

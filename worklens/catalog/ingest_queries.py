@@ -10,7 +10,7 @@ from ..operators import ingest, labels, peers, reconcile
 from ..plans import scoring
 from ..session import cut, shared_dir
 from ..sources import extracts, fixtures, publish, raw_fixtures, synthetic
-from .base_sql import r
+from .base_sql import HOUSE, SEAT, r
 from .registry import query
 
 RAW = """raw AS (SELECT *, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS work_id,
@@ -23,6 +23,8 @@ RAW = """raw AS (SELECT *, l_orderkey || '-' || l_linenumber || '-' || l_partkey
     CASE l_partkey % 101 WHEN 0 THEN NULL WHEN 1 THEN 'n/a' WHEN 2 THEN '-5' WHEN 3 THEN '12.50'
       ELSE l_extendedprice::DECIMAL(14,2)::VARCHAR END AS amount,
     CASE WHEN l_returnflag = 'A' THEN TRUE WHEN l_returnflag = 'N' THEN FALSE END AS images,
+    CASE WHEN l_returnflag = 'A' THEN 'True' WHEN l_returnflag = 'N' THEN 'False'
+      WHEN l_partkey % 2 = 0 THEN 'maybe' END AS raw_images,
     concat_ws('|', work_id, ls_term, trim(ida)) AS work_key
   FROM joined
 ), rec AS (SELECT *, CASE WHEN l_orderkey % 11 = 0 OR l_orderkey % 13 = 0 THEN NULL
@@ -30,13 +32,14 @@ RAW = """raw AS (SELECT *, l_orderkey || '-' || l_linenumber || '-' || l_partkey
 ), com AS (SELECT * FROM raw WHERE l_linestatus = 'F'
 ), united AS (
   SELECT work_key, description, raw_state AS state,
-    ida, amount, 'recommended' AS work_status, start_date, NULL::DATE AS actual_completion, images,
+    ida, amount, 'recommended' AS work_status, start_date, NULL::DATE AS actual_completion, images, raw_images,
     raw_category, ls_term, member_name, o_custkey, 'works_recommended_2001-08-01.csv' AS source_file
   FROM rec WHERE work_key NOT IN (SELECT work_key FROM com)
   UNION ALL
   SELECT work_key, com.description, com.raw_state,
     com.ida, com.amount, 'completed', rec.start_date,
-    CASE WHEN com.l_returnflag <> 'R' THEN com.ship_date END, com.images, com.raw_category,
+    CASE WHEN com.l_returnflag <> 'R' THEN com.ship_date END, com.images, com.raw_images,
+    com.raw_category,
     com.ls_term, com.member_name, com.o_custkey,
     CASE WHEN com.l_orderkey % 3 = 0 THEN 'works_completed_2001-07-01.csv'
       ELSE 'works_completed_2001-08-01.csv' END
@@ -63,11 +66,19 @@ def unite_works(t):
     return _united(t).select("work_key", "work_status", "start_date", "actual_completion", "amount")
 
 
-@query("rejected_works", "P5", """SELECT work_key, reason, source_file FROM judged
+RAW_FIELDS = ("work_key", "description", "category", "ls_term", "state", "implementing_agency",
+              "amount", "work_status", "start_date", "actual_completion", "has_images")
+
+
+@query("rejected_works", "P5", """SELECT work_key, description, raw_category AS category,
+  ls_term::VARCHAR AS ls_term, state, ida AS implementing_agency, amount, work_status,
+  start_date::VARCHAR AS start_date, actual_completion::VARCHAR AS actual_completion,
+  raw_images AS has_images, reason, source_file FROM judged
 WHERE reason IS NOT NULL""", extra=RAW)
 def rejected_works(t):
+    """Each reject with the raw values it came with."""
     _, rejects = ingest.route_rejects(_united(t), t.p)
-    return rejects.select(F.element_at("raw_row", "work_key").alias("work_key"), "reason",
+    return rejects.select(*[F.element_at("raw_row", c).alias(c) for c in RAW_FIELDS], "reason",
                           "source_file")
 
 
@@ -83,12 +94,13 @@ def reject_summary(t):
     ELSE 'lok sabha' END), 1, 16) AS mp_id, state, {DISTRICT} AS district,
   coalesce(raw_category, 'Unknown') AS category, value AS sanctioned_amount,
   CASE WHEN work_status = 'completed' THEN value ELSE 0.0 END AS expenditure, work_status,
-  start_date, start_date + 365 AS expected_completion, actual_completion, images AS has_images
+  start_date, start_date + 365 AS expected_completion, actual_completion, images AS has_images,
+  ida AS implementing_agency, value AS recommended_amount, 'real' AS source,
+  {HOUSE} AS house, {SEAT} AS constituency
 FROM judged WHERE reason IS NULL""", extra=RAW)
 def loaded_works(t):
     accepted, _ = ingest.route_rejects(_united(t), t.p)
-    return ingest.derive_works(accepted, t.p, ascii_only=True).drop(
-        "house", "constituency", "implementing_agency", "recommended_amount", "source")
+    return ingest.derive_works(accepted, t.p, ascii_only=True)
 
 
 @query("clean_payments", "P9", f"""SELECT trim(p_brand) AS vendor, trim(ida) AS implementing_agency,
@@ -241,7 +253,7 @@ def change_only_write(t):
     changed = t.profile.withColumn("total_spend", F.col("total_spend") + 0.01)
     writes = [publish.publish_if_changed(df, root, "profile")
               for df in (t.profile, t.profile.orderBy("total_spend"), changed)]
-    return t.profile.limit(1).select(
+    return t.profile.agg(F.count(F.lit(1))).select(
         *[F.lit(w).alias(n) for w, n in zip(writes, ("first_write", "same_again", "after_change"))])
 
 
@@ -407,8 +419,9 @@ def _stub_labeller(texts):
   WHEN contains(description, 'rod') THEN 'Rods' WHEN contains(description, 'ring') THEN 'Other'
   ELSE 'Plates' END AS label FROM half WHERE rule = 'Other' AND cached IS NULL""", extra=CACHED)
 def label_batches(t):
-    pending = labels.unlabelled(t.works, _cache(t), None, HALF_RULES, True)
-    return labels.label_batches(pending, _stub_labeller, ["Rods", "Plates"], ascii_only=True)
+    """Given every description: what the rules or the cache place is not asked again."""
+    return labels.label_batches(t.works.select("description"), _stub_labeller, ["Rods", "Plates"],
+                                ascii_only=True, cache=_cache(t), rules=HALF_RULES)
 
 
 DRESSED = """dressed AS (SELECT mp_id, ls_term, CASE mp_id::INTEGER % 4

@@ -184,7 +184,8 @@ def contains_text(c, needle: str) -> Column:
 
 
 def text_rank(c, needle: str) -> Column:
-    """0 at the start, 1 at a word's start, 2 inside a word, 3 elsewhere in the record."""
+    """How early a needle stands: 0 leads the text, 1 leads a word, 2 is inside one, 3 is absent
+    from this column."""
     text = F.lower(F.coalesce(col(c), F.lit("")))
     at = F.locate(needle.lower(), text)
     preceding = F.substr(text, F.greatest(at - 1, F.lit(1)), F.lit(1))
