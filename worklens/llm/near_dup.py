@@ -13,10 +13,11 @@ ROWS coordinates make buckets. Links are then checked exactly, on the elements:
 
 1. In each bucket the most central node (whose buckets hold most) is the lead, and is compared
    with every other member. Components of the links are found by hooking and pointer jumping.
-2. Members of one bucket that are still in different components are joined exactly, without
-   comparing all pairs: elements are ordered with those that the lead lacks first, and two nodes
-   at least THRESHOLD alike must share one among the first few of both (prefix filter, with the
-   bound of their two sizes). Candidates are compared and the components found anew.
+2. Where the members of a lead are still in different components, they are joined exactly,
+   without comparing all pairs: their elements are ordered by the number of such members that
+   hold them, rarest first, and two nodes at least THRESHOLD alike must share one among the
+   first few of both (prefix filter, with the bound of their two sizes). An element that only
+   one component has there joins nothing. Candidates are compared and components found anew.
 
 So every two members of a bucket that are THRESHOLD alike end in one class; a pair at 0.8 shares
 no bucket at all with a probability of 7e-5, one at 0.9 with 1e-9.
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .tables import chunks
+from .tables import chunks, raw
 from .words import mix, repeats, span_hash, words
 
 SHINGLE = 5
@@ -244,36 +245,43 @@ def prefix(n: int, other: float, threshold: float) -> int:
     return max(0, n - need + 1)
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, at = raw(batch.column("units"))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.array(batch.column("node")), np.diff(at) // 4)),
+             pa.array(np.frombuffer(data.tobytes(), np.int32))], ["node", "unit"])
+
+
 def _prefixes(threshold: float):
+    """Of each node, for each class of sizes its partners may have, the units of its prefix that
+    another node has too, with their places."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = {c: batch.column(c).to_pylist() for c in ("lead", "node", "root", "sizes")}
-            out: dict[str, list] = {c: [] for c in ("lead", "node", "root", "n", "other", "unit",
-                                                    "place")}
+            node, root, n = (np.array(batch.column(c)) for c in ("node", "root", "n"))
+            row, unit, place, other = [], [], [], []
             for k in range(batch.num_rows):
-                own = np.frombuffer(batch.column("units")[k].as_buffer(), np.uint32)
-                lead = np.frombuffer(batch.column("units_lead")[k].as_buffer(), np.uint32)
-                at = np.minimum(np.searchsorted(lead, own), len(lead) - 1)
-                order = own[np.lexsort((own, lead[at] == own))]
-                for low, high in cols["sizes"][k]:
+                own = batch.column("own")[k].values
+                df, units = np.array(own.field("df")), np.array(own.field("unit"))
+                mine = _size_class(n[k])
+                for c in batch.column("classes")[k].as_py():
+                    low, high = np.ceil(1.04**c - 1e-6), np.floor(1.04**(c + 1) + 1e-6)
                     # A class of sizes that none alike enough can have is passed over.
-                    if high < threshold * len(own) or low > len(own) / threshold:
+                    if high < threshold * n[k] or low > n[k] / threshold:
                         continue
-                    m = prefix(len(own), max(low, threshold * len(own)), threshold)
-                    out["unit"] += order[:m].tolist()
-                    out["place"] += range(m)
-                    mine = _size_class(len(own))
-                    other = _size_class(low)
-                    out["other"] += [min(mine, other) * 100_000 + max(mine, other)] * m
-                    for c in ("lead", "node", "root"):
-                        out[c] += [cols[c][k]] * m
-                    out["n"] += [len(own)] * m
+                    m = prefix(n[k], max(low, threshold * n[k]), threshold)
+                    at = np.flatnonzero(df[:m] > 1)
+                    place.append(at)
+                    unit.append(units[at])
+                    row.append(np.full(len(at), k))
+                    other.append(np.full(len(at), min(mine, c) * 100_000 + max(mine, c)))
+            if not row:
+                continue
+            row = np.concatenate(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[c], t) for c, t in (
-                    ("lead", pa.int64()), ("node", pa.int64()), ("root", pa.int64()),
-                    ("n", pa.int64()), ("other", pa.int64()), ("unit", pa.int64()),
-                    ("place", pa.int64()))],
-                ["lead", "node", "root", "n", "other", "unit", "place"])
+                [pa.array(x) for x in (node[row], root[row], n[row], np.concatenate(other),
+                                       np.concatenate(unit), np.concatenate(place))],
+                ["node", "root", "n", "other", "unit", "place"])
     return run
 
 
@@ -283,31 +291,33 @@ def _size_class(n: int) -> int:
 
 
 def _rest(stars: DataFrame, roots: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs (a, b) among the members of each lead that are in different components."""
-    own = stars.select(F.col("a").alias("lead"), F.col("b").alias("node"), F.col("n"))
-    own = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    """Candidate pairs (a, b) in different components, among the members of leads whose members
+    are not all in one."""
+    own = stars.select(F.col("a").alias("lead"), F.col("b").alias("node"), "n").join(
+        roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.04)) + F.lit(1e-9))
     split = own.groupBy("lead").agg(F.min("root").alias("x"), F.max("root").alias("y"),
-                                    F.collect_set(F.floor(F.log(F.col("n")) / F.log(F.lit(1.04))
-                                                          + F.lit(1e-9))).alias("classes"))
-    # Sizes of members lie within the lead's by the threshold: a dozen classes at most.
-    split = split.filter("x < y").select("lead", F.transform("classes", lambda c: F.struct(
-        F.ceil(F.pow(F.lit(1.04), c) - F.lit(1e-6)).cast("int").alias("low"),
-        F.floor(F.pow(F.lit(1.04), c + 1) + F.lit(1e-6)).cast("int").alias("high")))
-        .alias("sizes"))
-    rows = own.join(cut(split, "near-split"), "lead").join(units, "node").join(
-        units.select(F.col("node").alias("lead"), F.col("units").alias("units_lead")), "lead")
-    rows = rows.select("lead", "node", "root", F.transform("sizes", lambda s: F.array(
-        s["low"], s["high"])).alias("sizes"), "units", "units_lead")
-    marks = cut(rows.mapInArrow(_prefixes(threshold), "lead long, node long, root long, n long, "
-                                "other long, unit long, place long"), "near-prefixes")
-    shared = marks.groupBy("lead", "other", "unit").agg(
+                                    F.collect_set(size_class.cast("int")).alias("classes"))
+    split = cut(split.filter("x < y").select("lead", "classes"), "near-split")
+    # Classes of sizes are a few hundred at most, whatever the number of members.
+    near = cut(own.join(split, "lead").groupBy("node", "root", "n").agg(
+        F.array_distinct(F.flatten(F.collect_set("classes"))).alias("classes")), "near-members")
+    each = units.join(near.select("node"), "node", "left_semi").mapInArrow(
+        _each, "node long, unit int")
+    held = each.groupBy("unit").agg(F.count(F.lit(1)).alias("df"))
+    ordered = each.join(held, "unit").groupBy("node").agg(
+        F.array_sort(F.collect_list(F.struct("df", "unit"))).alias("own"))
+    marks = cut(ordered.join(near, "node").mapInArrow(
+        _prefixes(threshold), "node long, root long, n long, other long, unit int, place long"),
+        "near-prefixes")
+    # What only one component holds parts nothing.
+    shared = marks.groupBy("other", "unit").agg(
         F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").drop("x", "y")
-    marks = marks.join(shared, ["lead", "other", "unit"])
+    marks = cut(marks.join(shared, ["other", "unit"]), "near-shared")
     one, two = marks.alias("p"), marks.alias("q")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("p.n") + F.col("q.n")) - F.lit(1e-9))
-    on = ((F.col("p.lead") == F.col("q.lead")) & (F.col("p.other") == F.col("q.other"))
-          & (F.col("p.unit") == F.col("q.unit")) & (F.col("p.node") < F.col("q.node"))
-          & (F.col("p.root") != F.col("q.root"))
+    on = ((F.col("p.other") == F.col("q.other")) & (F.col("p.unit") == F.col("q.unit"))
+          & (F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root"))
           & (F.col("p.place") <= F.col("p.n") - need) & (F.col("q.place") <= F.col("q.n") - need)
           & (F.least("p.n", "q.n") >= F.lit(threshold) * F.greatest("p.n", "q.n")))
     return one.join(two, on).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
@@ -363,4 +373,5 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     told = classes(docs, id_col, text_col, threshold)
     gone = cut(told.filter(F.col(id_col) != F.col("class_id")).select(
         F.col(id_col).alias("near_gone")).distinct(), "near-gone")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("near_gone"), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"))
+    return rows.join(gone, F.col("id") == F.col("near_gone"), "left_anti").select("row.*")
