@@ -17,12 +17,9 @@ def peer_stats(works: DataFrame, keys=PEER_KEYS, amount: str = "sanctioned_amoun
     present = works
     for key in keys:
         present = present.filter(F.col(key).isNotNull())
-    sizes = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("peer_count"))
-    medians = exact_percentiles(present, list(keys), amount, {"__median": 0.5}, "__priced")
-    return (
-        sizes.join(medians, list(keys), "left")
-        .select(*keys, "peer_count", rounded("__median", 2).alias("peer_median_cost"))
-    )
+    stats = exact_percentiles(present, list(keys), amount, {"__median": 0.5}, "__priced",
+                              rows_as="peer_count")
+    return stats.select(*keys, "peer_count", rounded("__median", 2).alias("peer_median_cost"))
 
 
 def peer_baseline(
