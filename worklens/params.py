@@ -72,6 +72,8 @@ class Params:
 
     # The term that sits now.
     current_term: int = 18
+    # Upper-house records whose term ended earlier are of no interest.
+    upper_from_year: int = 2019
 
     def but(self, **changes) -> "Params":
         return replace(self, **changes)

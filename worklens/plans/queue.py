@@ -109,8 +109,9 @@ def queue_page(scored: DataFrame, verdicts: DataFrame, limit: int = 50, offset:
 
 
 def queue_total(scored: DataFrame, verdicts: DataFrame, **filters) -> DataFrame:
-    return alert_filters(with_reviews(scored, verdicts), **filters).agg(
-        F.count(F.lit(1)).alias("total"))
+    """The verdicts are joined only where a filter asks for them."""
+    rows = with_reviews(scored, verdicts) if filters.get("status") else scored
+    return alert_filters(rows, **filters).agg(F.count(F.lit(1)).alias("total"))
 
 
 def queue_summary(scored: DataFrame, verdicts: DataFrame, min_score: float = QUEUE_FLOOR,

@@ -1,4 +1,4 @@
-"""Works to scores: one lazy plan over peers, agencies, similarity and rules."""
+"""Works to scores over peers, agencies, similarity and rules; statistics are cut on the way."""
 
 from __future__ import annotations
 
@@ -60,7 +60,7 @@ def score_works(
 
     ``similarity`` has work_key, similar_work_key and max_similarity_score (see
     ``operators.similarity.nearest_peer``). ``use_forest`` blends the isolation forest into
-    the cost component; fitting it is the only step that runs a job of its own.
+    the cost component. Peers, rates, profiles and the forest are cut while the plan is built.
     """
     # Rows without a key cannot be scored: a score is keyed on it.
     keyed = works.filter(F.col("work_key").isNotNull())
@@ -100,10 +100,13 @@ def scored_view(works: DataFrame, scores: DataFrame) -> DataFrame:
     A work loaded but not yet scored still appears, with NULLs and no reasons.
     """
     own = [c for c in works.columns if c != "sector"]
-    others = works.select(F.col("work_key").alias("similar_work_key"),
+    others = works.select(F.col("work_key").alias("__other"),
                           F.col("work_key").alias("similar_found"))
     joined = works.select(*own).join(scores, "work_key", "left")
-    return joined.join(others, "similar_work_key", "left").select(
+    # A work without a peer asks for a key of its own that nobody has, so they do not all meet.
+    asked = F.coalesce("similar_work_key", F.concat(F.lit("\u0000"), F.col("work_key")))
+    return joined.withColumn("__asked", asked).join(
+            others, F.col("__asked") == F.col("__other"), "left").select(
         "work_key",
         F.substring("description", 1, 60).alias("work_name"),
         *[c for c in own if c != "work_key"],
