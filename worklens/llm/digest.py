@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import raw
+from .tables import bounded, raw
 
 BUCKETS = 256
 TRIPLETS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
@@ -170,7 +170,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id",
 
     The edited text has its last half replaced by the beginning of the next row's text.
     """
-    rows = docs.select(F.col(id_col).alias("id"),
+    rows = bounded(docs).select(F.col(id_col).alias("id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = next_texts(rows.withColumn("fingerprint", fingerprint(F.col("text"))))
     half = F.floor(F.length("text") / 2).cast("int")

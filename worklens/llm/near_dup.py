@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .tables import chunks, raw
+from .tables import bounded, chunks, raw
 from .words import mix, repeats, span_hash, words
 
 SHINGLE = 5
@@ -157,7 +157,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, n, bands) of every row: its set of elements, their weight and the band hashes."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"),
+    narrow = bounded(docs).select(F.col(id_col).cast("long").alias("id"),
                          F.col(text_col).cast("binary").alias("text"))
     return narrow.mapInArrow(_signed, "id long, key binary, n long, bands array<long>")
 

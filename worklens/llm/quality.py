@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import chunks
+from .tables import bounded, chunks
 from .words import SPACE, Repeats, Words, mix, per_text, repeats, span_hash, words
 
 SYMBOLS = np.zeros(256, bool)
@@ -136,5 +136,5 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, the measures and whether it is ``kept``."""
     kind = docs.schema[id_col].dataType.simpleString()
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    narrow = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     return narrow.mapInArrow(_judge, f"id {kind}, {COLUMNS}").withColumnRenamed("id", id_col)

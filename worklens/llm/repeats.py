@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import chunks
+from .tables import bounded, chunks
 from .words import mix, words
 
 WINDOW = 20
@@ -177,7 +177,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, n, ref_id, ref_start): n windows from word ``start`` on, each of which also
     starts earlier, at its place from ``ref_start`` on in ``ref_id``."""
-    narrow = docs.filter(F.col(id_col).isNotNull()).select(
+    narrow = bounded(docs).filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     filed = narrow.mapInArrow(_index, STRETCH)
     blocks = filed.repartition("anchor").sortWithinPartitions("anchor", "id", "start")

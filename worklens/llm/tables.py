@@ -11,12 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that numpy code looks at in one go; a longer text is taken alone.
 CHUNK_BYTES = 2_000_000
+#: Bytes of one Arrow batch.
+BATCH_BYTES = 8_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session hands Python at most BATCH_BYTES at once, or one row.
+
+    By default a batch is eight times as large, and what a worker makes of it must fit beside
+    the other workers of an executor.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all values one after another, and where each begins and ends; null is empty."""
     if isinstance(column, pa.ChunkedArray):

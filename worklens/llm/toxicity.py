@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .tables import chunks
+from .tables import bounded, chunks
 
 SAMPLE = 20_000
 MOST_TERMS = 256
@@ -264,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.filter("teaches and toxic is not null and id is not null").select("id", "toxic")
     known = known.orderBy(F.xxhash64("id"), "id", "toxic").limit(sample)
     # At most ``sample`` rows of two numbers.
-    taught = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
+    taught = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
         F.broadcast(known), "id")
     # Copies of one text teach once.
     taught = cut(taught.select("toxic", "text").distinct(), "toxic-sample")
@@ -338,4 +338,4 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text",
                   threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score under the threshold, columns unchanged."""
-    return docs.filter(score(F.col(text_col), model) < threshold)
+    return bounded(docs).filter(score(F.col(text_col), model) < threshold)
