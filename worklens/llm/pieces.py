@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import bounded, chunks
 from .words import BASE, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -80,8 +81,7 @@ class Vocabulary:
     byte_score: float
     longest: int
     splits: bool                # no piece has a mark after another character
-    text: list[str]             # piece of each id, "" for control pieces
-    of_byte: np.ndarray         # byte of each id, or -1
+    raw: list[bytes]            # what each id stands for, b"" for control pieces
     keys: list[np.ndarray]      # by length: hashes of the pieces, sorted
     ids: list[np.ndarray]       # and their ids
     name: str
@@ -97,16 +97,15 @@ def load(path: str = MODEL) -> Vocabulary:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     size = model.get_piece_size()
     score = np.array([model.get_score(i) for i in range(size)])
-    pieces, text, byte = {}, [""] * size, np.full(256, -1)
-    of_byte = np.full(size, -1)
+    pieces, raw, byte = {}, [b""] * size, np.full(256, -1)
     for i in range(size):
         p = model.id_to_piece(i)
         if model.is_byte(i):
             byte[int(p[1:-1], 16)] = i
-            of_byte[i] = int(p[1:-1], 16)
+            raw[i] = bytes([int(p[1:-1], 16)])
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
             pieces[p] = i
-            text[i] = p
+            raw[i] = p.encode()
     if (byte < 0).any():
         raise ValueError("the vocabulary needs a piece for each byte")
     longest = max(map(len, pieces))
@@ -117,7 +116,7 @@ def load(path: str = MODEL) -> Vocabulary:
         ids.append(np.array([i for _, i in of_length], np.int64))
     low = min(float(score[i]) for i in pieces.values())
     return Vocabulary(pieces, score, byte, low - BYTE_PENALTY, longest,
-                      all(MARK not in p.lstrip(MARK) for p in pieces), text, of_byte, keys, ids, path)
+                      all(MARK not in p.lstrip(MARK) for p in pieces), raw, keys, ids, path)
 
 
 def _points(text: str) -> np.ndarray:
@@ -317,18 +316,7 @@ def _parts(rows: np.ndarray, size: np.ndarray, most: int = 40_000) -> Iterator[n
 
 
 def decode(ids, v: Vocabulary) -> str:
-    out, pending = [], bytearray()
-    for i in ids:
-        if v.of_byte[i] >= 0:
-            pending.append(int(v.of_byte[i]))
-            continue
-        if pending:
-            out.append(pending.decode("utf-8", "replace"))
-            pending = bytearray()
-        out.append(v.text[i])
-    if pending:
-        out.append(pending.decode("utf-8", "replace"))
-    return "".join(out).replace(MARK, " ")[1:]
+    return b"".join(map(v.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
 def encoded(text: Column, v: Vocabulary) -> Column:
@@ -349,24 +337,30 @@ def encoded(text: Column, v: Vocabulary) -> Column:
     return F.arrow_udf(run, "array<int>")(text)
 
 
-def decoded(ids: Column, v: Vocabulary) -> Column:
-    def run(rows: pa.Array) -> pa.Array:
-        return pa.array([decode(x or [], v) for x in rows.to_pylist()], pa.string())
-    return F.arrow_udf(run, "string")(ids)
-
-
 def with_ids(docs: DataFrame, text_col: str = "text", out: str = "ids",
              path: str = MODEL) -> DataFrame:
     """``docs`` with the ids of each text; a column of that name is replaced."""
-    return docs.withColumn(out, encoded(F.col(text_col), load(path)))
+    return bounded(docs).withColumn(out, encoded(F.col(text_col), load(path)))
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                path: str = MODEL) -> DataFrame:
     """Id, ids, their number, and whether decoding gives the text back, for each row."""
     v = load(path)
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("piece_text"))
-    rows = rows.withColumn("ids", encoded(F.col("piece_text"), v))
-    return rows.select(F.col(id_col), "ids", F.size("ids").cast("long").alias("n_ids"),
-                       (decoded(F.col("ids"), v) == F.replace("piece_text", F.lit(MARK), F.lit(" ")))
-                       .alias("exact"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, at in chunks(batches, "text"):
+            whole = data.tobytes()
+            texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])]
+            ids, bounds = encode_all(texts, v)
+            exact = [decode(ids[a:b].tolist(), v) == t.replace(MARK, " ")
+                     for a, b, t in zip(bounds[:-1], bounds[1:], texts)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id"), pa.ListArray.from_arrays(
+                    pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32))),
+                 pa.array(np.diff(bounds)), pa.array(exact, pa.bool_())],
+                ["id", "ids", "n_ids", "exact"])
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, ids array<int>, n_ids long, exact boolean").select(
+        F.col("id").alias(id_col), "ids", "n_ids", "exact")
