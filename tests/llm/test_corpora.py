@@ -99,6 +99,24 @@ def test_signature_agrees_as_often_as_texts_are_alike():
     assert (sign[2] == sign[3]).all() and (sign != 0).all()
 
 
+def test_a_text_and_itself_with_a_passage_repeated(spark):
+    """A run that stands once in one text and twice in the other is shared once."""
+    import numpy as np
+    rng = random.Random(11)
+    texts = []
+    for _ in range(20):
+        own = [f"w{k}" for k in rng.sample(range(3000), 100)]
+        texts += [" ".join(own), " ".join(own + own[-15:])]
+    raw = [t.encode() for t in texts[:2]]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    doc, units, _ = near_dup.elements(np.frombuffer(b"".join(raw), np.uint8), at)
+    one, two = set(units[doc == 0].tolist()), set(units[doc == 1].tolist())
+    x, y = brute.weighted(texts[0]), brute.weighted(texts[1])
+    assert (len(one & two), len(one | two)) == (len(x & y), len(x | y))
+    got, want = classes(frame(spark, texts)), brute.near_classes(list(enumerate(texts)))
+    assert got == want and len(set(want.values())) == 20
+
+
 def test_near_copies_of_odd_rows(odd, none):
     got = {}
     for r in near_dup.classes(odd).collect():

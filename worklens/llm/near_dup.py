@@ -70,7 +70,9 @@ def elements(data: np.ndarray, at: np.ndarray):
     begin = np.flatnonzero(~same.later)
     nth = np.arange(len(same.place)) - np.repeat(begin, np.diff(np.append(begin, len(same.place))))
     units = h.copy()
-    units[same.place] = mix(h[same.place] + nth.astype(np.uint64) * GOLD)
+    # The first unit of a run is the same whether or not the run comes again.
+    units[same.place] = np.where(same.later, mix(h[same.place] + nth.astype(np.uint64) * GOLD),
+                                 h[same.place])
     return doc, units, w
 
 
