@@ -184,6 +184,22 @@ def test_beginnings_and_contexts():
     assert context.tolist() == [1, 6, 0]
 
 
+def test_misspelled_words_that_a_beginning_covers(spark):
+    """Slips in the first letters, where a beginning of few letters allows none."""
+    tails = ["ian", "iano", "iane", "ianer", "ianisch", "heitlich"]
+    kinds = ["grob" + t for t in tails]
+    rows = [(k, f"plain words and {kinds[k % 6]} here {k}", 1) for k in range(120)]
+    rows += [(k, f"plain words and nothing here {k}", 0) for k in range(120, 600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs, docs)
+    assert len(model.weights) < len(kinds)  # a beginning stands for the words
+    slips = [w for k in kinds for w in ("x" + k[1:], k[1] + k[0] + k[2:], k[0] + k[2:], k[:2] + "x" + k[2:])]
+    texts = [f"plain {w} here" for w in slips + kinds + ["gxxbian", "nothing"]]
+    got = toxicity.scores(pa.array([t.encode() for t in texts]), model)
+    assert (got[:-2] >= toxicity.THRESHOLD).all()
+    assert (got[-2:] < toxicity.THRESHOLD).all()
+
+
 def test_toxicity_of_held_out_rows(spark, odd, none):
     sf = "/root/testdata/sf0.1"
     told = toxicity.judged(spark.read.parquet(f"{sf}/documents.parquet"),

@@ -4,7 +4,8 @@ A lexicon of words and word beginnings is learned from labelled rows, and with i
 term, at each number of edits, tells about the label. The Levenshtein automata of the terms
 (transpositions count as one edit) run together along the trie of the lexicon; their product is
 made deterministic once, so that all words of a batch walk one table, a character a step, in
-numpy, until they die. Each hit is weighed with its context window: inside quotation marks,
+numpy, until they die. A word that a chosen beginning covers keeps the edits it would be allowed
+alone; its misspellings count as the beginning's. Each hit is weighed with its context window: inside quotation marks,
 near a word of reporting, near a word of address. Labels, ids, languages and sources are no
 input of a score.
 
@@ -78,17 +79,19 @@ def allowed(term: str, prefix: bool) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
-def build(terms: list[tuple[str, bool]]) -> Automaton:
+def build(terms: list[tuple[str, bool]], covered: list[tuple[str, int]] = ()) -> Automaton:
     """The product of the terms' automata with their trie, made deterministic.
 
-    A state is a set of (trie node, edits so far, character owed by a transposition); a
+    ``covered`` has words that a beginning covers, with its number: their misspellings are hits of
+    that beginning. A state is a set of (trie node, edits so far, character owed by a transposition); a
     beginning that has been read whole stays in the set as (-1 - term, edits, "").
     """
-    letters = sorted({c for t, _ in terms for c in t})
+    every = [*terms, *((word, False) for word, _ in covered)]
+    letters = sorted({c for t, _ in every for c in t})
     nodes: list[dict[str, int]] = [{}]
     ends: dict[int, list[int]] = {}
     limit = [0]
-    for number, (term, prefix) in enumerate(terms):
+    for number, (term, prefix) in enumerate(every):
         at, most = 0, allowed(term, prefix)
         limit[0] = max(limit[0], most)
         for c in term:
@@ -110,7 +113,7 @@ def build(terms: list[tuple[str, bool]]) -> Automaton:
             best[node, owed] = e
             if node >= 0 and not owed:
                 for number in ends.get(node, ()):
-                    term, prefix = terms[number]
+                    term, prefix = every[number]
                     if prefix and e <= allowed(term, True):
                         todo.append((-1 - number, e, ""))
                 todo += [(child, e + 1, "") for child in nodes[node].values()]
@@ -137,8 +140,10 @@ def build(terms: list[tuple[str, bool]]) -> Automaton:
         found = [(e, terms[-1 - n][1], -1 - n) for n, e, _ in state if n < 0]
         for node, e, owed in state:
             if node >= 0 and not owed:
-                found += [(e, False, k) for k in ends.get(node, ())
-                          if not terms[k][1] and e <= allowed(*terms[k])]
+                near = [k for k in ends.get(node, ()) if not every[k][1] and e <= allowed(*every[k])]
+                # A covered word ranks as its beginning does.
+                found += [(e, False, k) if k < len(terms) else (e, True, covered[k - len(terms)][1])
+                          for k in near]
         return (min(found)[2], min(found)[0]) if found else (-1, 0)
 
     begin, dead = closed([(0, 0, "")]), frozenset()
@@ -227,8 +232,10 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def lexicon(words: DataFrame, toxic: int, clean: int) -> list[tuple[str, bool]]:
-    """Terms from (word, toxic rows, clean rows): at most MOST_TERMS of CANDIDATES."""
+def lexicon(words: DataFrame, toxic: int,
+            clean: int) -> tuple[list[tuple[str, bool]], list[tuple[str, int]]]:
+    """Terms from (word, toxic rows, clean rows): at most MOST_TERMS of CANDIDATES; and the words
+    that would be allowed more edits than the beginning that covers them, with its number."""
     begun = words.select("toxic", "clean", F.explode(F.array(*[
         F.when(F.length("word") > k, F.substring("word", 1, k)) for k in PREFIXES])).alias("term"))
     begun = begun.filter("term is not null").groupBy("term").agg(
@@ -242,18 +249,23 @@ def lexicon(words: DataFrame, toxic: int, clean: int) -> list[tuple[str, bool]]:
         (F.col("ratio") > RATIO_LEAST) & (F.col("toxic") >= SHARE_LEAST * toxic)).orderBy(
         (F.col("toxic") * F.col("ratio")).desc(), "prefix", F.length("term").desc(), "term")
     chosen: list[tuple[str, bool]] = []
+    covered: list[tuple[str, int]] = []
     held: dict[str, int] = {}
     for r in rows.limit(CANDIDATES).collect():
-        if any(p and r["term"].startswith(t) for t, p in chosen):
+        over = [k for k, (t, p) in enumerate(chosen) if p and r["term"].startswith(t)]
+        if over:
+            most = max(allowed(*chosen[k]) for k in over)
+            if not r["prefix"] and allowed(r["term"], False) > most:
+                covered.append((r["term"], over[0]))
+            continue
+        if len(chosen) == MOST_TERMS:
             continue
         known = sum(n for t, n in held.items() if t.startswith(r["term"]))
         if r["prefix"] and r["toxic"] <= 1.2 * known:
             continue
         chosen.append((r["term"], r["prefix"]))
         held[r["term"]] = r["toxic"]
-        if len(chosen) == MOST_TERMS:
-            break
-    return chosen
+    return chosen, covered
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -275,10 +287,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     size = taught.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).first()
     toxic, clean = size["toxic"] or 0, size["n"] - (size["toxic"] or 0)
     prior = math.log((toxic + 0.5) / (clean + 0.5)) if size["n"] else math.log(0.05)
-    terms = lexicon(cut(counts, "toxic-words"), toxic, max(1, clean)) if toxic else []
+    terms, covered = lexicon(cut(counts, "toxic-words"), toxic, max(1, clean)) if toxic else ([], [])
     if not terms:
         return Model(None, np.zeros((0, LEVELS)), np.zeros(8), prior)
-    automaton = build(terms)
+    automaton = build(terms, covered)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in chunks(batches, "text"):
