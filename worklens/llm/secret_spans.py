@@ -6,7 +6,8 @@ strings of the entropy rule are runs of token characters; a window slides over e
 sum of n * log2(n) over its characters' counts is kept by taking the leaving character's count
 down and the entering one's up. The largest entropy is held against the limit of the
 candidate's class of characters. Candidates on the allow-list, and those that overlap a match
-of a fixed pattern, are left out.
+of a fixed pattern, are left out of the report, as its check SQL has it; ``redacted`` judges the
+parts of the latter that lie outside all such matches on their own.
 
 Places are code points, the end exclusive. Defined results: a null text is empty and has no
 spans, so its list is empty text; texts are read whole; equal places are ordered by kind;
@@ -103,7 +104,8 @@ def too_even(value: Column, classes=CLASSES, allow=ALLOW) -> Column:
 
 def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` as ``row``, their ``text``, and the spans of the fixed patterns
-    (``base``) and of the entropy rule (``more``): arrays of (start, kind, end, value)."""
+    (``base``) and of the entropy rule (``more``; ``parts`` of candidates that overlap a base span,
+    judged on their own): arrays of (start, kind, end, value)."""
     text = F.col("text")
     found = docs.select(F.struct(*docs.columns).alias("row"),
                         F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -120,8 +122,35 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     more = F.filter(located(text, F.col("hits3"), CANDIDATE, 3), lambda s: too_even(
         s["value"]) & ~F.exists("base", lambda b: (b["start"] < s["end"])
                                 & (s["start"] < b["end"])))
+    parts = F.filter(outside(located(text, F.col("hits3"), CANDIDATE, 3), F.col("base")),
+                     lambda s: too_even(s["value"]))
     return found.select("row", "text", "base",
-                        F.when(likely, more).otherwise(_none()).alias("more"))
+                        F.when(likely, more).otherwise(_none()).alias("more"),
+                        F.when(F.size("base") > 0, parts).otherwise(_none()).alias("parts"))
+
+
+def outside(spans: Column, base: Column) -> Column:
+    """Of the ``spans`` that overlap one of ``base`` (in order), the parts of a window or more
+    that lie outside all of these."""
+    def parts(s: Column) -> Column:
+        def part(a: Column, b: Column) -> Column:
+            value = F.substring(s["value"], a - s["start"] + 1, b - a)
+            one = F.array(F.struct(a.alias("start"), s["kind"].alias("kind"), b.alias("end"),
+                                   value.alias("value")))
+            return F.when(b - a >= WINDOW, one).otherwise(_none())
+
+        def add(state: Column, b: Column) -> Column:
+            meets = (b["start"] < s["end"]) & (s["start"] < b["end"])
+            return F.struct(
+                F.when(meets, F.greatest(state["at"], b["end"])).otherwise(state["at"]).alias("at"),
+                F.when(meets, F.concat(state["out"], part(state["at"], b["start"]))).otherwise(
+                    state["out"]).alias("out"))
+        begin = F.struct(s["start"].alias("at"), _none().alias("out"))
+        return F.aggregate(base, begin, add,
+                           lambda x: F.concat(x["out"], part(x["at"], s["end"])))
+    met = F.filter(spans, lambda s: F.exists(base, lambda b: (b["start"] < s["end"])
+                                             & (s["start"] < b["end"])))
+    return F.flatten(F.transform(met, parts))
 
 
 def listed(spans: Column) -> Column:
@@ -154,7 +183,7 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") ->
         return F.struct(F.greatest(state["to"], s["end"]).alias("to"),
                         F.coalesce(gap, state["out"]).alias("out"))
     clean = F.aggregate(
-        F.array_sort(F.concat("base", "more")),
+        F.array_sort(F.concat("base", "more", "parts")),
         F.struct(F.lit(0).alias("to"), F.lit("").alias("out")), add,
         lambda s: F.concat(s["out"], F.substring(text, s["to"] + 1, F.length(text))))
     clean = F.when(F.size("base") + F.size("more") > 0, clean).otherwise(F.col(f"row.`{text_col}`"))
