@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    digest, licenses, mixing, near_dup, pieces, quality, repeats, secret_spans, toxicity, warc,
+    bpe, digest, hard_negatives, licenses, mixing, near_dup, pieces, quality, repeats, secret_spans,
+    toxicity, warc,
 )
 from .license_sql import LICENSE_SQL
 from .mixing_sql import MIX_SQL
+from .negatives_sql import NEGATIVES_SQL
 from .quality_sql import QUALITY_SQL, REPEATS_SQL
 from .secret_sql import SECRET_SQL
 from .tables import read
@@ -79,3 +81,17 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_licenses", LICENSE_SQL)
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(read(spark, sf_dir, "documents"))
+
+
+@query("op12_bpe")
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(
+        read(spark, sf_dir, "embeddings").withColumn("label", own), F.col("vec_id") % 50 == 0)
