@@ -21,6 +21,7 @@ is refused.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -222,6 +223,13 @@ def merge(stretches: list[str], v: Vocabulary) -> list[bytes]:
 
 
 _CUT = regex.compile(PATTERN)
+#: The same for texts of ASCII alone, where the classes are short.
+_CUT_ASCII = re.compile(PATTERN.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")
+                        .replace(" ?A-Za-z+| ?0-9+", " ?[A-Za-z]+| ?[0-9]+"), re.ASCII)
+
+
+def _stretches(text: str) -> list[str]:
+    return (_CUT_ASCII if text.isascii() else _CUT).findall(text)
 
 
 def encode(texts: list[str], v: Vocabulary, special: bool = True) -> list[bytes]:
@@ -233,10 +241,10 @@ def encode(texts: list[str], v: Vocabulary, special: bool = True) -> list[bytes]
     parted = []
     for text in texts:
         if marks is not None and marks.search(text):
-            parts = [[p] if p in v.special else _CUT.findall(p) for p in marks.split(text) if p]
+            parts = [[p] if p in v.special else _stretches(p) for p in marks.split(text) if p]
             parted.append([s for p in parts for s in p])
         else:
-            parted.append(_CUT.findall(text))
+            parted.append(_stretches(text))
     if len(v.known) > REMEMBERED:
         v.known.clear()
     wanted = set().union(*parted).difference(v.known)
@@ -244,11 +252,13 @@ def encode(texts: list[str], v: Vocabulary, special: bool = True) -> list[bytes]
              if marks is not None and s in v.special}
     plain = [s for s in wanted if s not in fresh]
     found = dict(zip(plain, merge(plain, v))) | fresh
-    # A special string that is plain text here, or the other way round, isn't remembered.
-    v.known.update((s, ids) for s, ids in found.items()
-                   if len(s) <= LONGEST and s not in v.special)
-    get = v.known.get
-    return [b"".join([get(s) or found[s] for s in parts]) for parts in parted]
+    v.known.update(found)
+    out = [b"".join(map(v.known.__getitem__, parts)) for parts in parted]
+    for s in found:
+        # A special string that is plain text here, or the other way round, is not remembered.
+        if len(s) > LONGEST or s in v.special:
+            del v.known[s]
+    return out
 
 
 def decode(ids: np.ndarray, at: np.ndarray, v: Vocabulary) -> list[str]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, digest, hard_negatives, licenses, mixing, near_dup, pieces, quality, repeats, secret_spans,
+    align, bpe, digest, hard_negatives, licenses, mixing, near_dup, pieces, quality, repeats, secret_spans,
     toxicity, warc,
 )
 from .license_sql import LICENSE_SQL
@@ -83,6 +83,11 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(read(spark, sf_dir, "documents"))
 
 
+@query("op11_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(read(spark, sf_dir, "documents"))
+
+
 @query("op12_bpe")
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents")).select(
