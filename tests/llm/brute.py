@@ -151,3 +151,67 @@ def pieces(text, v):
         end = best[end][1]
     return [i for a, b, n in reversed(path) for i in (
         [int(v.byte[x]) for x in text[a:b].encode()] if n < 0 else [n])]
+
+
+def _byte_pieces(tokenizer, ids):
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in shown]
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
+    return [bytes(byte[c] for c in tokenizer.id_to_token(i)) for i in ids]
+
+
+def aligned(rows, byte_path, piece_path):
+    """Every pair of tokens compared, text by text, with the libraries' own ids."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(byte_path)
+    tokenizer.encode_special_tokens = True
+    model = sentencepiece.SentencePieceProcessor(model_file=piece_path)
+    docs, count = [], Counter()
+    for i, text in rows:
+        a, b = [], []
+        if text:
+            a_ids, b_ids = tokenizer.encode(" " + text, add_special_tokens=False).ids, model.encode(text)
+            a_raw = _byte_pieces(tokenizer, a_ids)
+            b_raw = [bytes([int(model.id_to_piece(x)[1:-1], 16)]) if model.is_byte(x)
+                     else model.id_to_piece(x).replace("▁", " ").encode() for x in b_ids]
+            if b"".join(a_raw) == (" " + text).encode() == b"".join(b_raw):
+                for side, ids, raw in ((a, a_ids, a_raw), (b, b_ids, b_raw)):
+                    end = 0
+                    for x, own in zip(ids, raw):
+                        end += len(own)
+                        side.append((x, end))
+        links = [(x, y) for x, e in a for y, f in b if e == f]
+        groups, low = [], 0
+        for high in sorted({e for _, e in a} & {e for _, e in b}):
+            parts = [",".join(str(x) for x, e in side if low < e <= high) for side in (a, b)]
+            groups.append("|".join(parts))
+            low = high
+        count.update(links)
+        told = hashlib.sha256(";".join(groups).encode()).hexdigest() if a else ""
+        docs.append((i, len(a), len(b), len(groups), links, told))
+    best = defaultdict(int)
+    for (_, y), n in count.items():
+        best[y] = max(best[y], n)
+    return [(i, n_a, n_b, n, len(links), sum(count[x] == best[x[1]] for x in links),
+             sum(count[x] for x in links), told) for i, n_a, n_b, n, links, told in docs]
+
+
+def hard_negatives(rows, scale=256.0, positives=5, negatives=3, least=50, most=95):
+    """(id, label, vector, anchor) rows; every anchor against every row, in Python integers."""
+    used = []
+    for i, label, vector, anchor in rows:
+        if None in (i, label, vector) or any(x is None or not math.isfinite(x) for x in vector):
+            continue
+        used.append((i, label, [math.floor(scale * x) for x in vector], anchor))
+    out = set()
+    for i, label, own, anchor in used:
+        if not anchor:
+            continue
+        scored = [(-sum(x * y for x, y in zip(own, v)), j, other) for j, other, v, _ in used]
+        near = sorted({(s, j) for s, j, other in scored if other == label and j != i})[:positives]
+        for p, j in near:
+            fit = sorted({(s, k) for s, k, other in scored
+                          if other != label and least * -p <= 100 * -s <= most * -p})
+            out |= {(i, j, rank, k, -p, -s) for rank, (s, k) in enumerate(fit[:negatives], 1)}
+    return out

@@ -19,7 +19,7 @@ take no part; a shorter vector counts as padded with zeros; equal scores go by t
 rows with the anchor's id are never its partners. Rows that share an id are rows of their own,
 but equal ones (id, label and vector as an anchor; id and score as a partner) count once. An
 empty table, or one without anchors, gives an empty result; further columns are passed over.
-Components of 2**31 or more after scaling are refused.
+Components so large that a score may not fit a long are refused.
 """
 
 from __future__ import annotations
@@ -63,8 +63,9 @@ class Packing:
     def of(cls, dims: int, low: int, high: int) -> "Packing":
         span = max(1, high - low)
         most = (dims * span).bit_length()
-        if max(abs(low), abs(high)) >= 1 << 31 or most >= BITS:
-            raise ValueError(f"components from {low} to {high} are too large to be packed")
+        if dims * max(abs(low), abs(high)) ** 2 >= 1 << 63 or most >= BITS:
+            raise ValueError(f"{dims} components from {low} to {high} are too large: a score "
+                             "may not fit a long")
         limb = min(span.bit_length(), BITS - most)
         width = (dims * span * ((1 << limb) - 1)).bit_length()
         return cls(dims, low, width, max(1, BITS // width), limb,
