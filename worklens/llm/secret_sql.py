@@ -1,8 +1,8 @@
 """Check SQL of the secret spans: places by the pieces between matches, every window counted anew."""
 
 from .secret_spans import (
-    ACCESS, ACCESS_LEAST, ALLOW, ASSIGN, CANDIDATE, CLASSES, HEX, SCALE, VALUE_LEAST, WINDOW,
-    most_sum,
+    ACCESS, ACCESS_LEAST, ALLOW, ASSIGN, CANDIDATE, CLASSES, HEX, MIXED, SCALE, VALUE_LEAST,
+    WINDOW, most_sum,
 )
 
 
@@ -21,6 +21,8 @@ def _spans(kind: str, order: int, pattern: str) -> str:
 
 _RUN = next(p for p in ALLOW if "\\1" in p)
 _KNOWN = " OR ".join(f"regexp_matches(value, {quoted(p)})" for p in ALLOW if p != _RUN)
+_MIXED = " OR ".join(f"(regexp_matches(value, {quoted(a)}) AND regexp_matches(value, {quoted(b)}))"
+                     for a, b in MIXED)
 _LIMIT = " ".join(f"WHEN regexp_matches(value, {quoted(p)}) THEN {most_sum(bits)}"
                   for p, bits in CLASSES[:-1])
 
@@ -31,17 +33,26 @@ s AS ({_spans('assign', 0, ASSIGN)} UNION ALL {_spans('access', 1, ACCESS)}
 base AS (SELECT * FROM s WHERE CASE kind
     WHEN 'assign' THEN len(regexp_extract(value, {quoted(ASSIGN)}, 1)) >= {VALUE_LEAST}
     WHEN 'access' THEN len(value) >= {ACCESS_LEAST} ELSE true END),
-e AS (SELECT * FROM ({_spans('entropy', 3, CANDIDATE)})
-      WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+c AS ({_spans('entropy', 3, CANDIDATE)}),
+met AS (SELECT c.rid, c.a AS ca, b.a AS x, b.a + len(b.value) AS y FROM c JOIN base b
+        ON b.rid = c.rid AND b.a < c.a + len(c.value) AND c.a < b.a + len(b.value)),
+cuts AS (SELECT rid, ca, greatest(ca, coalesce(max(y) OVER (PARTITION BY rid, ca ORDER BY x, y
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ca)) AS s, x AS t FROM met
+         UNION ALL SELECT rid, ca, greatest(ca, max(y)), NULL FROM met GROUP BY rid, ca),
+part AS (SELECT c.doc_id, c.rid, kind, o, coalesce(s, c.a) AS a,
+           substr(value, (coalesce(s, c.a) - c.a + 1)::BIGINT,
+             (coalesce(t, c.a + len(value)) - coalesce(s, c.a))::BIGINT) AS value
+         FROM c LEFT JOIN cuts ON cuts.rid = c.rid AND cuts.ca = c.a
+         WHERE coalesce(t, c.a + len(value)) - coalesce(s, c.a) >= {WINDOW}),
+e AS (SELECT * FROM part
+      WHERE ({_MIXED})
         AND NOT ({_KNOWN})
         AND NOT list_bool_or([value[j:j+5] = repeat(value[j], 6) FOR j IN range(1, len(value) - 4)])),
 w AS (SELECT *, list_min([list_sum([CAST(round(n * log2(n) * {SCALE}) AS BIGINT)
                 FOR n IN map_values(list_histogram(string_split(value[j:j+{WINDOW - 1}], '')))])
               FOR j IN range(1, len(value) - {WINDOW - 2})]) AS least FROM e),
 more AS (SELECT doc_id, rid, kind, o, value, a FROM w
-         WHERE least <= CASE {_LIMIT} ELSE {most_sum(CLASSES[-1][1])} END
-           AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = w.rid
-                           AND b.a < w.a + len(w.value) AND w.a < b.a + len(b.value))),
+         WHERE least <= CASE {_LIMIT} ELSE {most_sum(CLASSES[-1][1])} END),
 t AS (SELECT rid, kind, o, a, kind || ':' || a || ':' || (a + len(value)) AS one FROM base
       UNION ALL SELECT rid, kind, o, a, kind || ':' || a || ':' || (a + len(value)) FROM more),
 g AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign,
