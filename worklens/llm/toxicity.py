@@ -34,8 +34,6 @@ from ..session import cut
 from .tables import bounded, chunks
 
 SAMPLE = 20_000
-MOST_TERMS = 256
-CANDIDATES = 2_000
 WINDOW = 8
 PREFIXES = (3, 4, 5, 6, 7, 8)
 WORD_LEAST, PREFIX_LEAST, RATIO_LEAST = 5, 20, 2.0
@@ -234,8 +232,9 @@ def held_out(id_col: Column) -> Column:
 
 def lexicon(words: DataFrame, toxic: int,
             clean: int) -> tuple[list[tuple[str, bool]], list[tuple[str, int]]]:
-    """Terms from (word, toxic rows, clean rows): at most MOST_TERMS of CANDIDATES; and the words
-    that would be allowed more edits than the beginning that covers them, with its number."""
+    """Terms from (word, toxic rows, clean rows): all over the limits, of which SHARE_LEAST bounds
+    the number by the length of the taught texts; and the words that would be allowed more edits
+    than the beginning that covers them, with its number."""
     begun = words.select("toxic", "clean", F.explode(F.array(*[
         F.when(F.length("word") > k, F.substring("word", 1, k)) for k in PREFIXES])).alias("term"))
     begun = begun.filter("term is not null").groupBy("term").agg(
@@ -251,15 +250,13 @@ def lexicon(words: DataFrame, toxic: int,
     chosen: list[tuple[str, bool]] = []
     covered: list[tuple[str, int]] = []
     held: dict[str, int] = {}
-    for r in rows.limit(CANDIDATES).collect():
+    for r in rows.collect():
         over = [k for k, (t, p) in enumerate(chosen) if p and r["term"].startswith(t)]
         if over:
             most = max(allowed(*chosen[k]) for k in over)
             if not r["prefix"] and allowed(r["term"], False) > most:
                 covered.append((r["term"], over[0]))
             continue
-        if len(chosen) == MOST_TERMS:
-            continue
         known = sum(n for t, n in held.items() if t.startswith(r["term"]))
         if r["prefix"] and r["toxic"] <= 1.2 * known:
             continue
@@ -325,10 +322,12 @@ def scores(texts: pa.Array, model: Model) -> np.ndarray:
             worth = model.weights[term, level]
             worth = worth + np.where(worth > 0, model.context[context], 0.0)
             # The best level of a term counts for its text.
-            best = np.full((len(at) - 1, len(model.weights)), -np.inf)
-            np.maximum.at(best, (doc, term), worth)
+            pair, place = np.unique(doc * len(model.weights) + term, return_inverse=True)
+            best = np.full(len(pair), -np.inf)
+            np.maximum.at(best, place, worth)
             rows = np.array(part.column("k"))
-            out[rows] += np.where(best >= COUNTS, best, 0.0).sum(axis=1)
+            out[rows] += np.bincount(pair // len(model.weights), np.where(
+                best >= COUNTS, best, 0.0), minlength=len(rows))
     return 1.0 / (1.0 + np.exp(-np.clip(out, -30, 30)))
 
 

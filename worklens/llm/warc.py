@@ -108,9 +108,7 @@ def _parsed(part: Column) -> dict[str, Column]:
 def _payload(part: Column, header_bytes: Column, block_bytes: Column) -> Column:
     """Bytes after the HTTP header of a record's block."""
     block = F.substring(part.cast("binary"), header_bytes.cast("int") + 5, block_bytes.cast("int"))
-    head = F.octet_length(F.substring_index(F.substring(
-        part.cast("binary"), header_bytes.cast("int") + 5,
-        F.least(block_bytes, F.lit(65_536)).cast("int")).cast("string"), END, 1))
+    head = F.octet_length(F.substring_index(block.cast("string"), END, 1))
     return F.substring(block, head + 5, F.octet_length(block))
 
 
