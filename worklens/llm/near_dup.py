@@ -16,8 +16,9 @@ ROWS coordinates make buckets. Links are then checked exactly, on the elements:
 2. Where the members of a lead are still in different components, they are joined exactly,
    without comparing all pairs: their elements are ordered by the number of such members that
    hold them, rarest first, and two nodes at least THRESHOLD alike must share one among the
-   first few of both (prefix filter, with the bound of their two sizes). An element that only
-   one component has there joins nothing. Candidates are compared and components found anew.
+   first few of both (prefix and positional filters, with the bound of their two sizes). An
+   element that only one component has joins nothing. Candidates are compared and components
+   found anew.
 
 So every two members of a bucket that are THRESHOLD alike end in one class; a pair at 0.8 shares
 no bucket at all with a probability of 7e-5, one at 0.9 with 1e-9.
@@ -250,77 +251,65 @@ def prefix(n: int, other: float, threshold: float) -> int:
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = raw(batch.column("units"))
+        node, root = (pa.array(np.repeat(np.array(batch.column(c)), np.diff(at) // 4))
+                      for c in ("node", "root"))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.array(batch.column("node")), np.diff(at) // 4)),
-             pa.array(np.frombuffer(data.tobytes(), np.int32))], ["node", "unit"])
+            [node, root, pa.array(np.frombuffer(data.tobytes(), np.int32))], ["node", "root", "unit"])
 
 
 def _prefixes(threshold: float):
-    """Of each node, for each class of sizes its partners may have, the units of its prefix that
-    another node has too, with their places."""
+    """The units of each node's longest prefix, that of its smallest partners, with their places;
+    each unit once, and only those that another component has too. How much of it counts for a
+    larger partner follows from the places."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, root, n = (np.array(batch.column(c)) for c in ("node", "root", "n"))
-            row, unit, place, other = [], [], [], []
+            row, unit, place = [], [], []
             for k in range(batch.num_rows):
                 own = batch.column("own")[k].values
-                df, units = np.array(own.field("df")), np.array(own.field("unit"))
-                mine = _size_class(n[k])
-                for c in batch.column("classes")[k].as_py():
-                    low, high = np.ceil(1.04**c - 1e-6), np.floor(1.04**(c + 1) + 1e-6)
-                    # A class of sizes that none alike enough can have is passed over.
-                    if high < threshold * n[k] or low > n[k] / threshold:
-                        continue
-                    m = prefix(n[k], max(low, threshold * n[k]), threshold)
-                    at = np.flatnonzero(df[:m] > 1)
-                    place.append(at)
-                    unit.append(units[at])
-                    row.append(np.full(len(at), k))
-                    other.append(np.full(len(at), min(mine, c) * 100_000 + max(mine, c)))
+                m = prefix(n[k], threshold * n[k], threshold)
+                at = np.flatnonzero(np.array(own.field("parts"))[:m])
+                place.append(at)
+                unit.append(np.array(own.field("unit"))[at])
+                row.append(np.full(len(at), k))
             if not row:
                 continue
             row = np.concatenate(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (node[row], root[row], n[row], np.concatenate(other),
-                                       np.concatenate(unit), np.concatenate(place))],
-                ["node", "root", "n", "other", "unit", "place"])
+                [pa.array(x) for x in (node[row], root[row], n[row], np.concatenate(unit),
+                                       np.concatenate(place))],
+                ["node", "root", "n", "unit", "place"])
     return run
 
 
-def _size_class(n: int) -> int:
-    """Sizes within about four hundredths share a class."""
-    return int(np.floor(np.log(max(1, n)) / np.log(1.04) + 1e-9))
-
-
 def _rest(stars: DataFrame, roots: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs (a, b) in different components, among the members of leads whose members
     are not all in one."""
     own = stars.select(F.col("a").alias("lead"), F.col("b").alias("node"), "n").join(
         roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.04)) + F.lit(1e-9))
-    split = own.groupBy("lead").agg(F.min("root").alias("x"), F.max("root").alias("y"),
-                                    F.collect_set(size_class.cast("int")).alias("classes"))
-    split = cut(split.filter("x < y").select("lead", "classes"), "near-split")
-    # Classes of sizes are a few hundred at most, whatever the number of members.
-    near = cut(own.join(split, "lead").groupBy("node", "root", "n").agg(
-        F.array_distinct(F.flatten(F.collect_set("classes"))).alias("classes")), "near-members")
-    each = units.join(near.select("node"), "node", "left_semi").mapInArrow(
-        _each, "node long, unit int")
-    held = each.groupBy("unit").agg(F.count(F.lit(1)).alias("df"))
+    split = own.groupBy("lead").agg(F.min("root").alias("x"), F.max("root").alias("y"))
+    near = cut(own.join(split.filter("x < y").select("lead"), "lead", "left_semi").select(
+        "node", "root", "n").distinct(), "near-members")
+    each = units.join(near.select("node", "root"), "node").select("node", "root", "units").mapInArrow(
+        _each, "node long, root long, unit int")
+    held = each.groupBy("unit").agg(F.count(F.lit(1)).alias("df"),
+                                    (F.min("root") < F.max("root")).alias("parts"))
     ordered = each.join(held, "unit").groupBy("node").agg(
-        F.array_sort(F.collect_list(F.struct("df", "unit"))).alias("own"))
+        F.array_sort(F.collect_list(F.struct("df", "unit", "parts"))).alias("own"))
     marks = cut(ordered.join(near, "node").mapInArrow(
-        _prefixes(threshold), "node long, root long, n long, other long, unit int, place long"),
-        "near-prefixes")
+        _prefixes(threshold), "node long, root long, n long, unit int, place long"), "near-prefixes")
     # What only one component holds parts nothing.
-    shared = marks.groupBy("other", "unit").agg(
-        F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").drop("x", "y")
-    marks = cut(marks.join(shared, ["other", "unit"]), "near-shared")
+    shared = marks.groupBy("unit").agg(
+        F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("unit")
+    marks = cut(marks.join(shared, "unit"), "near-shared")
     one, two = marks.alias("p"), marks.alias("q")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("p.n") + F.col("q.n")) - F.lit(1e-9))
-    on = ((F.col("p.other") == F.col("q.other")) & (F.col("p.unit") == F.col("q.unit"))
+    # Both must have the unit early enough, and from there on enough of what is still to share.
+    rest = F.least(F.col("p.n") - F.col("p.place"), F.col("q.n") - F.col("q.place"))
+    on = ((F.col("p.unit") == F.col("q.unit"))
           & (F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root"))
           & (F.col("p.place") <= F.col("p.n") - need) & (F.col("q.place") <= F.col("q.n") - need)
+          & (rest + F.least("p.place", "q.place") >= need)
           & (F.least("p.n", "q.n") >= F.lit(threshold) * F.greatest("p.n", "q.n")))
     return one.join(two, on).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
 
