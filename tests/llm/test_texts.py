@@ -205,14 +205,36 @@ def test_every_meeting_block_is_found(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in licenses.license_report(rows).collect():
         own, want = texts[r.doc_id].split(), set()
-        for label, size, words in found:
+        for size in licenses.CLASSES:
             for block in range(-1, len(own) // size + 1):
                 block = set(own[max(0, block * size):(block + 2) * size])
-                if len(block & set(words)) >= 0.8 * len(words) - 1e-9:
-                    want.add(label)
+                met = {label: set(words) for label, of, words in found
+                       if of == size and len(block & set(words)) >= 0.8 * len(words) - 1e-9
+                       and set(licenses.NEEDED.get(label, ())) <= block}
+                want |= {one for one, a in met.items() if not any(
+                    len(a & b) >= 0.8 * min(len(a), len(b)) - 1e-9 and len(b & block) > len(a & block)
+                    for b in met.values())}
         assert set(filter(None, r.labels.split(","))) == want
 
 
+def test_each_notice_has_its_own_label(spark):
+    """Notices that hold most of each other's words are told apart, also with a word lost."""
+    whole = [(label, f"see {notice}. ok") for label, notice in licenses.NOTICES]
+    less = [(label, notice.replace("Public ", "", 1).replace("Creative ", "", 1))
+            for label, notice in licenses.NOTICES if label in ("gpl", "lgpl", "cc-by", "cc-by-nc", "cc-by-sa")]
+    rows = spark.createDataFrame(whole + less, "want string, text string")
+    got = licenses.license_report(rows, id_col="want").collect()
+    assert len(got) == len(whole) + len(less)
+    assert {(r.want, r.labels) for r in got} == {(label, label) for label, _ in whole}
+
+
+def test_a_notice_of_any_length(spark):
+    long = " ".join(f"word{k}" for k in range(130))
+    rows = spark.createDataFrame([(1, "a " * 70 + long + " z" * 20), (2, long[:300])], "doc_id long, text string")
+    got = licenses.license_report(rows, notices=(("own", long),)).collect()
+    assert {(r.doc_id, r.labels) for r in got} == {(1, "own"), (2, "")}
+
+
 # Toxicity
 
 @given(st.lists(st.text("abcd", min_size=1, max_size=10), min_size=1, max_size=5, unique=True),

@@ -12,6 +12,11 @@ prefix: fewer words than that cannot be missing), with a bound by length (the bl
 enough) and one by position (the words from here on, in both, are enough). Candidates are then
 counted exactly. The ranks, at most as many as template words, are the only thing gathered.
 
+Notices that are nearly alike hold most of each other's words, so a template also names the words
+it cannot do without (``NEEDED``): a block without all of them does not meet it. And of two
+templates one of which holds at least CONTAINED of the other's words, a block that meets both is
+labelled by the one with the more words shared; the other loses (ties keep both).
+
 Besides, the places of the base phrases are found, and labelled as such.
 
 Defined results: a null or empty text has no words, no labels and score 0; texts are read whole;
@@ -58,22 +63,39 @@ NOTICES = (
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 "
                  "International License"),
 )
-#: Classes of templates by their length in words; a block has twice as many.
+#: Words without which a notice is another license's.
+NEEDED = {"lgpl": ("lesser", "library"), "gpl": ("program",), "gpl-3": ("3",), "cc-by": ("attribution",),
+          "cc-by-nc": ("noncommercial",), "cc-by-sa": ("sharealike",)}
+#: Classes of templates by their length in words; a block has twice as many. A notice longer
+#: than all of them adds a class of twice the last, and so on.
 CLASSES = (16, 48)
 
 
+def classes_of(notices=NOTICES) -> tuple[int, ...]:
+    out, longest = list(CLASSES), max((len(re.findall("[0-9a-z]+", n.lower())) for _, n in notices),
+                                      default=0)
+    while out[-1] < longest:
+        out.append(2 * out[-1])
+    return tuple(out)
+
+
 def templates(notices=NOTICES) -> list[tuple[str, int, list[str]]]:
     """Label, class and words of each notice."""
     out = []
     for label, notice in notices:
         found = re.findall("[0-9a-z]+", notice.lower())
-        size = next((c for c in CLASSES if len(found) <= c), None)
-        if size is None:
-            raise ValueError(f"the notice of {label} is longer than {CLASSES[-1]} words")
+        size = next(c for c in classes_of(notices) if len(found) <= c)
         out.append((label, size, sorted(set(found))))
     return out
 
 
+def rivals(found: list[tuple[str, int, list[str]]], contained: float = CONTAINED) -> dict[str, list[str]]:
+    """For each label those that a block of its words may meet too, or the other way round."""
+    def near(a: list[str], b: list[str]) -> bool:
+        return len(set(a) & set(b)) >= contained * min(len(a), len(b)) - 1e-9
+    return {one: [two for two, _, b in found if two != one and near(a, b)] for one, _, a in found}
+
+
 def lowered(text: Column) -> Column:
     """A-Z in lower case. Of other letters only two have a lower case that holds one of a-z."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -151,10 +173,11 @@ def _prefix_table(spark: SparkSession, found, ranks, contained: float) -> DataFr
     for number, (label, size, words) in enumerate(found):
         order = sorted(ranks[w] for w in words)
         need = math.ceil(contained * len(order) - 1e-9)
-        rows += [(r, k, number, label, size, len(order), need, order)
+        musts = sorted(ranks[w] for w in NEEDED.get(label, ()) if w in words)
+        rows += [(r, k, number, label, size, len(order), need, order, musts)
                  for k, r in enumerate(order[:len(order) - need + 1])]
-    return spark.createDataFrame(rows, "rank int, place int, template int, label string, "
-                                       "class int, size int, need int, ranks array<int>")
+    return spark.createDataFrame(rows, "rank int, place int, template int, label string, class int, "
+                                       "size int, need int, ranks array<int>, musts array<int>")
 
 
 def matches(rows: DataFrame, notices=NOTICES, contained: float = CONTAINED) -> DataFrame:
@@ -175,7 +198,7 @@ def matches(rows: DataFrame, notices=NOTICES, contained: float = CONTAINED) -> D
         F.broadcast(names), "word")
     blocks = placed.select("id", "same", "rank", F.explode(F.array(*[
         F.struct(F.lit(c).alias("class"), (F.floor(F.col("at") / c) - back).cast("int")
-                 .alias("block")) for c in CLASSES for back in (0, 1)])).alias("b"))
+                 .alias("block")) for c in classes_of(notices) for back in (0, 1)])).alias("b"))
     blocks = blocks.groupBy("id", "same", "b.class", "b.block").agg(
         F.array_sort(F.collect_set("rank")).alias("own"))
     blocks = blocks.filter(F.size("own") >= min(math.ceil(contained * len(w) - 1e-9)
@@ -188,9 +211,19 @@ def matches(rows: DataFrame, notices=NOTICES, contained: float = CONTAINED) -> D
                         & (F.size("own") >= F.col("need"))
                         & (F.least("place", "at") + left >= F.col("need")))
     shared = F.size(F.array_intersect("own", "ranks"))
-    pairs = pairs.filter(shared >= F.col("need")).select(
-        "id", "same", "label", (shared / F.col("size")).alias("share"))
-    return pairs.groupBy("id", "same", "label").agg(F.max("share").alias("share"))
+    pairs = pairs.filter((shared >= F.col("need"))
+                         & (F.size(F.array_except("musts", "own")) == 0)).select(
+        "id", "same", "of", "block", "label", shared.alias("shared"),
+        (shared / F.col("size")).alias("share"))
+    # A block meets a label once for each word of the prefix; a block's few labels are held together.
+    met = pairs.groupBy("id", "same", "of", "block").agg(
+        F.collect_set(F.struct("label", "shared", "share")).alias("met"))
+    against = F.create_map(*[c for k, v in rivals(found, contained).items()
+                             for c in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
+    best = F.filter("met", lambda m: ~F.exists("met", lambda o: F.array_contains(
+        F.element_at(against, m["label"]), o["label"]) & (o["shared"] > m["shared"])))
+    return met.select("id", "same", F.explode(best).alias("m")).groupBy(
+        "id", "same", F.col("m.label").alias("label")).agg(F.max("m.share").alias("share"))
 
 
 def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
