@@ -70,3 +70,20 @@ def test_records_behind_a_broken_chain_are_left_out(spark, tmp_path):
     (tmp_path / "broken.warc").write_bytes(path.read_bytes().replace(b"page 1", b"page 1 and more"))
     read = warc.read_warc(spark, str(tmp_path / "broken.warc"))
     assert {r["id"] for r in read.collect()} == {0, 1}
+
+
+def test_reads_with_two_split_sizes(spark, monkeypatch):
+    """Parts of torn records are found again though the second read is split otherwise."""
+    rows = [(k, "u", f"{k} " + FAKE * (k % 4) + "x" * (37 * k % 500)) for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    sizes, real = iter(("700", "5000")), warc.raw_parts
+
+    def split(session, path):
+        session.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return real(session, path)
+    monkeypatch.setattr(warc, "raw_parts", split)
+    try:
+        assert told(warc.archived(pages)) == brute.archived([(r[0], r[2]) for r in rows])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)

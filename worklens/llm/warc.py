@@ -113,11 +113,13 @@ def _payload(part: Column, header_bytes: Column, block_bytes: Column) -> Column:
 
 
 def raw_parts(spark: SparkSession, path: str) -> DataFrame:
-    """What stands after each magic. Files that stay as they are give the same ``seq`` again."""
+    """What stands after each magic. ``seq`` follows the splits of this one read and tells the
+    order within a split; another read may be split otherwise, where ``key`` stays the same."""
     return spark.read.option("lineSep", MAGIC).text(path).select(
         F.xxhash64("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"), F.col("value"))
+        F.monotonically_increasing_id().alias("seq"), F.xxhash64("value").alias("key"),
+        F.col("value"))
 
 
 def parts(spark: SparkSession, path: str, measures: dict[str, Callable]) -> DataFrame:
@@ -130,7 +132,7 @@ def parts(spark: SparkSession, path: str, measures: dict[str, Callable]) -> Data
     whole = F.coalesce(record == size, F.lit(False))
     payload = _payload(F.col("value"), F.col("header_bytes"), F.col("block_bytes"))
     return rows.select(
-        "file", "block", "seq", size.alias("size"), record.alias("record"), "header_bytes",
+        "file", "block", "seq", "key", size.alias("size"), record.alias("record"), "header_bytes",
         "block_bytes", "type", "id", "uri", "refers_to", whole.alias("whole"),
         *[F.when(whole, f(payload)).alias(n) for n, f in measures.items()])
 
@@ -188,14 +190,20 @@ def read_warc(spark: SparkSession, path: str,
     torn = told.filter("not whole")
     if torn.isEmpty():
         return whole
-    # Of the other records: the part at the head and all parts up to the next record, read anew.
+    # Of the other records: the part at the head and all parts up to the next record. Their texts
+    # are read anew, and found by what they hold: parts of a file with equal size and key are equal.
     order = Window.partitionBy("file").orderBy("offset")
     owner = F.last(F.when(F.col("head"), F.col("seq")), ignorenulls=True).over(order)
-    pieces = chain.select("seq", "offset", owner.alias("owner")).join(
-        torn.select(F.col("seq").alias("owner")), "owner", "left_semi")
-    pieces = raw_parts(spark, path).select("seq", F.col("value").cast("binary").alias("rest")).join(
-        cut(pieces, "warc-torn"), "seq").groupBy("owner").agg(F.array_sort(F.collect_list(
-            F.struct("offset", "rest"))).alias("pieces"))
+    pieces = cut(chain.select("seq", "offset", owner.alias("owner")).join(
+        torn.select(F.col("seq").alias("owner")), "owner", "left_semi").join(
+        found.select("file", "seq", "key", "size"), "seq"), "warc-torn")
+    by = ["file", "key", "size"]
+    texts = raw_parts(spark, path).select("file", "key", (F.octet_length("value").cast("long") + len(
+        MAGIC)).alias("size"), F.col("value").cast("binary").alias("rest"))
+    texts = texts.join(pieces.select(*by).distinct(), by).groupBy(*by).agg(
+        F.min("rest").alias("rest"))
+    pieces = pieces.join(texts, by).groupBy("owner").agg(F.array_sort(F.collect_list(
+        F.struct("offset", "rest"))).alias("pieces"))
     joined = F.aggregate("pieces", F.lit(None).cast("binary"), lambda done, x: F.coalesce(
         F.concat(done, F.lit(MAGIC).cast("binary"), x["rest"]), x["rest"]))
     torn = torn.join(pieces, F.col("seq") == F.col("owner")).withColumn("part", joined)
