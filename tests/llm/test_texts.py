@@ -375,6 +375,62 @@ def test_digest_query(spark, docs):
     assert np.mean([r.near_edited for r in got.values()]) > np.mean([r.near_next for r in got.values()]) + 0.2
 
 
+def _plain_digest(text):
+    """Counts, quartiles and codes one byte at a time."""
+    counts = [0] * 256
+    for i in range(len(text)):
+        for k, (a, b) in enumerate(digest.TRIPLETS):
+            if i + b < len(text):
+                h = (text[i] * 0x9E3779B1 + text[i + a] * 0x85EBCA6B + text[i + b] * 0xC2B2AE35
+                     + 0x27D4EB2F * k) % 2**32
+                h ^= h >> 15
+                counts[h * 0x2C1B3C6D % 2**32 >> 24] += 1
+    q = [sorted(counts)[i] for i in (63, 127, 191)]
+    codes = [sum(c > x for x in q) for c in counts]
+    sums = 0
+    for i, x in enumerate(text):
+        sums = (sums + x * (2 * i + 1)) % 2**64
+    length = min(255, round(math.log1p(len(text)) / math.log(1.1)))
+    return length, [15 * x // max(1, q[2]) for x in q[:2]], (sums ^ sums >> 8) & 255, codes
+
+
+def _plain_likeness(one, two):
+    a, b = _plain_digest(one), _plain_digest(two)
+    d = min(48, 4 * abs(a[0] - b[0])) + 2 * sum(abs(x - y) for x, y in zip(a[1], b[1])) + (a[2] != b[2])
+    d += sum({0: 0, 1: 1, 2: 2, 3: 6}[abs(x - y)] for x, y in zip(a[3], b[3]))
+    return 1 - min(1, d / 416)
+
+
+def test_digests_equal_plain_ones():
+    rng = np.random.default_rng(4)
+    texts = [b"", b"abc", "héllo wörld ".encode() * 9, bytes(rng.integers(0, 256, 700, np.uint8)),
+             b"the cat sat on the mat and the dog sat on the log " * 5,
+             b"the cat sat on the mat and the dog sat on the bog " * 5]
+    got = digest.digests(pa.array(texts)).to_pylist()
+    for text, own in zip(texts, got):
+        length, ratios, check_, codes = _plain_digest(text)
+        packed = [codes[k] | codes[k + 1] << 2 | codes[k + 2] << 4 | codes[k + 3] << 6
+                  for k in range(0, 256, 4)]
+        assert list(bytes.fromhex(own)) == [length, ratios[0] | ratios[1] << 4, check_, *packed]
+    for i, a in enumerate(got):
+        near = digest.likenesses(pa.array([a] * len(got)), pa.array(got)).to_pylist()
+        assert near == [pytest.approx(_plain_likeness(texts[i], t)) for t in texts]
+
+
+def test_next_rows_with_far_off_repeated_and_null_ids(spark):
+    """Buckets hold few rows whatever the ids, and the order is that of one sort."""
+    rows = [(k, f"t{k}") for k in range(300)] + [(10**15, "far"), (-2**63, "low"), (2**63 - 1, "high")]
+    rows += [(77, f"hot {k}") for k in range(200)] + [(None, f"none {k}") for k in range(200)]
+    frame = spark.createDataFrame(rows, "id long, text string").withColumn("fingerprint", F.col("text"))
+    keyed = frame.withColumn("hash", F.xxhash64("text"))
+    order = [r.text for r in keyed.orderBy(F.col("id").desc_nulls_last(), "hash", "text").collect()]
+    got = {r.text: r.next_text for r in digest.next_texts(frame, rows=10).collect()}
+    assert got == dict(zip(order, order[1:] + order[:1])) and len(got) == len(rows)
+    sizes = [r["count"] for r in keyed.select(digest.id_buckets(keyed, 10).alias("b"))
+             .groupBy("b").count().collect()]
+    assert len(sizes) > 40 and max(sizes) <= 30
+
+
 def test_counts_equal_a_plain_count():
     texts = [b"", b"ab", b"abc", b"hello world", bytes(range(256)) * 3]
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])

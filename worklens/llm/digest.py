@@ -9,8 +9,8 @@ between their head codes; the difference is cut at that of two unrelated digests
 
 Defined results: a null text counts as empty; an empty or very short text has a digest like any
 other, and equal texts have equal digests. ``next_texts`` orders rows by descending id, nulls
-last, ties by text, and takes the first row after the last one: a lone row is its own next.
-Repeated rows follow one another. An empty table gives an empty result. Further columns of the
+last, ties by a hash of the text and by the text, and takes the first row after the last one: a
+lone row is its own next. Repeated rows follow one another. An empty table gives an empty result. Further columns of the
 input, whatever their names, are not looked at.
 """
 
@@ -29,9 +29,10 @@ TRIPLETS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 UNRELATED = 416.0
 LENGTH_STEP, RATIO_STEP, HEAD_MOST = 4, 2, 48
 CHUNK = 2_000_000
-#: Rows that a bucket of neighbouring ids is meant to hold.
+#: Rows that a bucket of neighbouring ids is meant to hold, and the finest share of all rows by
+#: which the bounds of buckets are told apart.
 BUCKET_ROWS = 4_000
-MOST_BUCKETS = 65_536
+ACCURACY = 1_000_000
 
 
 def _counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -129,39 +130,69 @@ def likeness(one, two):
     return F.arrow_udf(run, "double")(one, two)
 
 
+def id_buckets(docs: DataFrame, rows: int = BUCKET_ROWS):
+    """Column of bucket numbers for (id, hash), growing in the order of ``next_texts``.
+
+    The bounds are quantiles of the ids, so that far-off ids change nothing. An id (or null) met
+    more than ``rows`` times has a bucket of its own, split by the hash. The driver holds eight
+    bytes for every ``rows`` rows.
+    """
+    n = docs.count()
+    cuts = max(1, n // rows)
+    ids = docs.select(F.col("id").cast("long").alias("id"))
+    bounds = ids.agg(F.percentile_approx("id", [k / cuts for k in range(1, cuts)] or [0.5], min(
+        ACCURACY, max(10_000, 4 * cuts))).alias("b")).first()["b"] or []
+    often = {r["id"]: r["n"] for r in ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(
+        F.col("n") > rows).collect()}
+    alone = [i for i in often if i is not None]
+    top = np.iinfo(np.int64).max
+    bounds = np.unique(np.array([*bounds, *alone, *(i + 1 for i in alone if i < top)], np.int64))
+    # Buckets of ids from the lowest up, after them the one of no id; how many parts each has.
+    parts = np.ones(len(bounds) + 2, np.int64)
+    parts[np.searchsorted(bounds, np.array(alone, np.int64), "right")] = [
+        -(-often[i] // rows) for i in alone]
+    parts[-1] = -(-often.get(None, 1) // rows)
+    down = np.concatenate([np.arange(len(bounds), -1, -1), [len(bounds) + 1]])
+    start = np.empty_like(parts)
+    start[down] = np.cumsum(parts[down]) - parts[down]
+
+    def number(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        at = np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), "right")
+        at = np.where(ids.is_null().to_numpy(zero_copy_only=False), len(bounds) + 1, at)
+        share = hashes.to_numpy(zero_copy_only=False) / 2.0**64 + 0.5
+        part = np.minimum((share * parts[at]).astype(np.int64), parts[at] - 1)
+        return pa.array(start[at] + part, pa.int64())
+    return F.arrow_udf(number, "long")(F.col("id").cast("long"), F.col("hash"))
+
+
 def next_texts(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
     """``docs`` (id, text, fingerprint) with ``next_text`` and ``next_fingerprint``.
 
-    Rows go to buckets of neighbouring ids, of equal width between the smallest and the largest
-    id, so one shuffle of the texts is all. Of each bucket the first row is dealt a second time,
-    to the bucket above it, where it serves as what follows the last row. The table of those
-    first rows has at most MOST_BUCKETS rows of three numbers and is broadcast.
+    Rows go to buckets of neighbouring ids, so one shuffle of the texts is all. Of each bucket the
+    first row is dealt a second time, to the bucket before it, where it serves as what follows the
+    last row. The table of those first rows has three numbers a bucket.
     """
-    size = docs.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"),
-                    F.max("id").alias("high")).first()
-    low, width = size["low"] or 0, (size["high"] or 0) - (size["low"] or 0) + 1
-    n = max(1, min(MOST_BUCKETS, size["n"] // rows))
-    step = -(-width // n)
-    bucket = F.coalesce(F.floor((F.col("id") - F.lit(low)) / F.lit(step)).cast("long"), F.lit(-1))
-    placed = docs.withColumn("bucket", bucket)
-    tops = placed.groupBy("bucket").agg(F.max("id").alias("top"))
-    above = Window.orderBy(F.col("bucket"))
-    every = Window.orderBy(F.col("bucket")).rowsBetween(Window.unboundedPreceding,
-                                                      Window.unboundedFollowing)
+    docs = docs.withColumn("hash", F.xxhash64("text"))
+    placed = docs.withColumn("bucket", id_buckets(docs, rows))
+    # The largest id, and of its rows the one with the least hash.
+    tops = placed.groupBy("bucket").agg(F.max(F.struct("id", F.bitwise_not("hash").alias("h")))
+                                        .alias("top"))
+    before = Window.orderBy("bucket")
+    every = before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     tops = tops.select("bucket", "top", F.coalesce(
-        F.lead("bucket").over(above), F.min("bucket").over(every)).alias("into"))
-    dealt = placed.join(F.broadcast(tops), "bucket")
+        F.lag("bucket").over(before), F.max("bucket").over(every)).alias("into"))
+    dealt = placed.join(tops, "bucket")
     own, again = (F.struct(F.col(c).alias("bucket"), F.lit(g).alias("again"))
                   for c, g in (("bucket", False), ("into", True)))
-    dealt = dealt.select("id", "text", "fingerprint", F.explode(
-        F.when(F.col("id").eqNullSafe(F.col("top")), F.array(own, again))
-        .otherwise(F.array(own))).alias("to")).select(
-        "id", "text", "fingerprint", "to.bucket", "to.again")
+    first = F.col("id").eqNullSafe(F.col("top.id")) & (F.bitwise_not("hash") == F.col("top.h"))
+    dealt = dealt.select("id", "text", "hash", "fingerprint", F.explode(
+        F.when(first, F.array(own, again)).otherwise(F.array(own))).alias("to")).select(
+        "id", "text", "hash", "fingerprint", "to.bucket", "to.again")
     order = Window.partitionBy("bucket").orderBy(
-        "again", F.col("id").desc_nulls_last(), "text")
+        "again", F.col("id").desc_nulls_last(), "hash", "text")
     return dealt.select("*", F.lead("text").over(order).alias("next_text"),
                         F.lead("fingerprint").over(order).alias("next_fingerprint")
-                        ).filter(~F.col("again"))
+                        ).filter(~F.col("again")).drop("hash")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id",
