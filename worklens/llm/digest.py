@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .tables import bounded, raw
 
 BUCKETS = 256
@@ -170,7 +171,8 @@ def next_texts(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
 
     Rows go to buckets of neighbouring ids, so one shuffle of the texts is all. Of each bucket the
     first row is dealt a second time, to the bucket before it, where it serves as what follows the
-    last row. The table of those first rows has three numbers a bucket.
+    last row. The table of those first rows has three numbers a bucket; it is written, so that its
+    size tells whether it can be broadcast.
     """
     docs = docs.withColumn("hash", F.xxhash64("text"))
     placed = docs.withColumn("bucket", id_buckets(docs, rows))
@@ -181,7 +183,7 @@ def next_texts(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
     every = before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     tops = tops.select("bucket", "top", F.coalesce(
         F.lag("bucket").over(before), F.max("bucket").over(every)).alias("into"))
-    dealt = placed.join(tops, "bucket")
+    dealt = placed.join(cut(tops, "digest-tops"), "bucket")
     own, again = (F.struct(F.col(c).alias("bucket"), F.lit(g).alias("again"))
                   for c, g in (("bucket", False), ("into", True)))
     first = F.col("id").eqNullSafe(F.col("top.id")) & (F.bitwise_not("hash") == F.col("top.h"))
