@@ -453,3 +453,10 @@ def test_digests_of_odd_rows(odd, none):
                       F.lit("f").alias("fingerprint"))
     assert sorted(map(str, digest.next_texts(rows, rows=2).select("id", "next_text").collect())) == \
         sorted(map(str, digest.next_texts(rows).select("id", "next_text").collect()))
+
+
+def test_fingerprints_of_no_rows_and_of_one(spark):
+    rows = spark.createDataFrame([(None, None, 1)], "doc_id long, text string, bucket int")
+    assert digest.edited_fingerprints(rows.limit(0)).count() == 0
+    one = digest.edited_fingerprints(rows).collect()
+    assert [(r.doc_id, r.n_chars, r.near_edited, r.near_next) for r in one] == [(None, 0, 1.0, 1.0)]
