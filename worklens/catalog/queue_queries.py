@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..operators import ledger
+from ..operators import ledger, postings
 from ..plans import queue, search
 from .registry import query
 
@@ -201,6 +201,80 @@ def search_entities(t):
     return search.search_entities(search.search_index(t.works), "A")
 
 
+# ------------------------------------------------------- search by posted runs
+
+
+def _grams(field: str) -> str:
+    return f"""SELECT DISTINCT '{field}' AS field, work_key,
+    substr(lower({field}) || chr(1) || chr(1), unnest(range(1, length({field}) + 1)), 3) AS run
+  FROM scored"""
+
+
+@query("posted_runs", "K6 E23", f"""SELECT field, length(trim(run, chr(1))) AS letters,
+  count(DISTINCT run) AS runs, count(*) AS places, max(works) AS most FROM (
+  SELECT field, run, count(*) OVER (PARTITION BY field, run) AS works FROM (
+    {" UNION ALL ".join(_grams(f) for f in search.WORK_TEXTS)}))
+GROUP BY 1, 2""")
+def posted_runs(t):
+    per_run = t.work_index.postings.groupBy("field", "run").agg(
+        F.sum(F.size("places")).alias("works"))
+    return per_run.groupBy("field", F.length(F.rtrim(F.col("run"), F.lit(postings.PAD))).alias(
+        "letters")).agg(F.count(F.lit(1)).alias("runs"), F.sum("works").alias("places"),
+                        F.max("works").alias("most"))
+
+
+@query("search_works_posted", "K6 E23", f"""SELECT work_key, work_name, state, district, sector,
+  implementing_agency, mp_name, sanctioned_amount::DOUBLE AS sanctioned_amount,
+  overall_risk_score, risk_level
+FROM (SELECT *, strpos(lower(work_name), 'widget e') AS spot FROM scored)
+WHERE contains(lower(work_name), 'widget e') OR contains(lower(implementing_agency), 'widget e')
+  OR contains(lower(mp_name), 'widget e')
+ORDER BY CASE WHEN spot = 1 THEN 0 WHEN spot > 1 AND substr(work_name, spot - 1, 1) = ' ' THEN 1
+    WHEN spot > 1 THEN 2 ELSE 3 END, CASE WHEN spot > 0 THEN spot - 1 ELSE 9999 END,
+  overall_risk_score DESC, work_key LIMIT 20""")
+def search_works_posted(t):
+    q = "Widget E"
+    rows = postings.candidates(t.work_index, search.RANKED_TEXTS, q)
+    return search.search_works(rows, q, 20)
+
+
+@query("queue_posted", "K1 P22 J3", f"""SELECT {PAGE}, review_status FROM reviewed
+WHERE overall_risk_score >= 40 AND (
+  contains(lower(work_name), 'g ') OR contains(lower(description), 'g ')
+  OR contains(lower(mp_name), 'g ') OR contains(lower(district), 'g ')
+  OR contains(lower(state), 'g ') OR contains(lower(implementing_agency), 'g '))
+ORDER BY overall_risk_score DESC, work_key LIMIT 100""")
+def queue_posted(t):
+    rows = postings.candidates(t.work_index, search.WORK_TEXTS, "g ")
+    return queue.queue_page(rows, t.verdicts, 100, 0, q="g ", min_score=40).select(
+        *PAGE_COLUMNS, "review_status")
+
+
+@query("register_posted", "K2 P23", f"""SELECT {PAGE} FROM scored
+WHERE contains(lower(work_name), 'bolt sm') OR contains(lower(mp_name), 'bolt sm')
+  OR contains(lower(district), 'bolt sm') OR contains(lower(state), 'bolt sm')
+  OR contains(lower(implementing_agency), 'bolt sm')
+ORDER BY overall_risk_score DESC, work_key LIMIT 200""")
+def register_posted(t):
+    rows = postings.candidates(t.work_index, search.WORK_TEXTS, "bolt sm")
+    return queue.register_page(rows, 200, q="bolt sm").select(*PAGE_COLUMNS)
+
+
+@query("search_entities_posted", "K7", """SELECT kind, label, sub, entity_id FROM (
+  SELECT DISTINCT 'State' AS kind, state AS label, NULL AS sub, NULL AS entity_id FROM works
+  UNION ALL SELECT DISTINCT 'District', district, state, NULL FROM works
+  UNION ALL SELECT DISTINCT 'Agency', implementing_agency, NULL, NULL FROM works
+  UNION ALL SELECT 'Member', mp_name, constituency || ' · ' || state, mp_id || '|' || ls_term
+  FROM (SELECT DISTINCT mp_id, mp_name, state, constituency, ls_term FROM works))
+WHERE contains(lower(label), 'er#00000000')
+ORDER BY CASE kind WHEN 'State' THEN 1 WHEN 'District' THEN 2 WHEN 'Member' THEN 3 ELSE 4 END,
+  length(label), label, sub NULLS FIRST, entity_id NULLS FIRST LIMIT 40""")
+def search_entities_posted(t):
+    q = "er#00000000"
+    rows = postings.candidates(t.entity_index, ["label"], q)
+    return search.search_entities(rows, q, 40).drop("rank")
+
+
 # --------------------------------------------------------------------- ledger
 
 

@@ -6,14 +6,16 @@ read those tables, as they would read a nightly load on a cluster.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import detectors, ingest, ledger, vendors
-from ..plans import scoring
-from ..session import cut
+from ..operators import detectors, ingest, ledger, postings, vendors
+from ..plans import scoring, search
+from ..session import cut, shared_dir
 from ..sources import fixtures
 
-_LOADED: dict[tuple[str, str, str], DataFrame] = {}
+_LOADED: dict[tuple[str, str, str], DataFrame | postings.Index] = {}
 
 
 class Tables:
@@ -58,6 +60,24 @@ class Tables:
         """Works with their scores: what every desk and queue reads."""
         return self._once("scored", lambda: scoring.scored_view(self.works, self.scores))
 
+    def _posted(self, name: str, build, fields: list[str], near: list[str]) -> postings.Index:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _LOADED:
+            path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+            _LOADED[key] = postings.write_index(build(), path, fields, near)
+        return _LOADED[key]
+
+    @property
+    def work_index(self) -> postings.Index:
+        """Scored works, searchable by any of their texts."""
+        return self._posted("work-index", lambda: self.scored, search.WORK_TEXTS,
+                            ["state", "district", "implementing_agency", "mp_name", "work_key"])
+
+    @property
+    def entity_index(self) -> postings.Index:
+        return self._posted("entity-index", lambda: search.search_index(self.works), ["label"],
+                            ["kind", "label", "sub", "entity_id"])
+
     @property
     def profile(self) -> DataFrame:
         return self._once("profile", lambda: vendors.vendor_profile(self.payments, self.p))

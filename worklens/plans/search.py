@@ -10,6 +10,11 @@ from .queue import any_contains, within
 
 WORKS_MAX = 20
 
+#: Texts of a work that any search looks at; what an index over works has to post. A search
+#: takes ``postings.candidates`` of its own fields in place of all rows.
+WORK_TEXTS = ["work_name", "description", "mp_name", "district", "state", "implementing_agency"]
+RANKED_TEXTS = ["work_name", "implementing_agency", "mp_name"]
+
 # How far each kind of entity sinks below an equal match of the kind before it.
 KIND_BIAS = {"State": 0.1, "District": 0.2, "Member": 0.3, "Agency": 0.4}
 
@@ -23,7 +28,7 @@ def search_works(scored: DataFrame, q: str, limit: int = 6) -> DataFrame:
     if len(q) < 2:
         return scored.limit(0)
     return (
-        scored.filter(any_contains(["work_name", "implementing_agency", "mp_name"], q))
+        scored.filter(any_contains(RANKED_TEXTS, q))
         .orderBy(text_rank("work_name", q), text_position("work_name", q),
                  F.coalesce("overall_risk_score", F.lit(0.0)).desc(), "work_key")
         .limit(within(limit, WORKS_MAX))
