@@ -26,3 +26,26 @@ def value(spark):
         frame = spark.createDataFrame([tuple(row.get(n) for n in names)], schema)
         return frame.select(expression.alias("v")).first()["v"]
     return run
+
+
+def _leaves(plan):
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        plan = plan.executedPlan()
+    name = plan.getClass().getSimpleName()
+    if name.endswith("QueryStageExec"):
+        plan = plan.plan()
+    if name == "FileSourceScanExec":
+        return [plan]
+    kids = plan.children()
+    return [x for i in range(kids.size()) for x in _leaves(kids.apply(i))]
+
+
+@pytest.fixture(scope="session")
+def files_read():
+    """Files that the scans of a folder open when a frame is computed."""
+    def run(df, folder):
+        df.collect()
+        return sum(p.metrics().apply("numFiles").value() for p in _leaves(
+            df._jdf.queryExecution().executedPlan())
+            if folder in p.relation().location().rootPaths().mkString())
+    return run

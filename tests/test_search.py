@@ -60,26 +60,7 @@ def test_runs_of_one_row_only_count_together(posted):
     assert _keys(postings.candidates(index, ["town"], "zebra")) == []
 
 
-def _leaves(plan):
-    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
-        plan = plan.executedPlan()
-    name = plan.getClass().getSimpleName()
-    if name.endswith("QueryStageExec"):
-        plan = plan.plan()
-    if name == "FileSourceScanExec":
-        return [plan]
-    kids = plan.children()
-    return [x for i in range(kids.size()) for x in _leaves(kids.apply(i))]
-
-
-def files_read(df, folder):
-    """Files that the scans of ``folder`` opened when ``df`` was computed."""
-    df.collect()
-    return sum(p.metrics().apply("numFiles").value() for p in _leaves(
-        df._jdf.queryExecution().executedPlan()) if folder in p.relation().location().toString())
-
-
-def test_files_read_fall_with_selectivity(spark):
+def test_files_read_fall_with_selectivity(spark, files_read):
     rows = [(i, f"work {i:05d}", f"town {i // 40:03d}", 0) for i in range(4000)]
     _, index = _index(spark, rows, 100)
     read = {q: files_read(postings.candidates(index, ["name", "town"], q), "/store")

@@ -257,6 +257,33 @@ def change_only_write(t):
         *[F.lit(w).alias(n) for w, n in zip(writes, ("first_write", "same_again", "after_change"))])
 
 
+@query("republished_works", "S6 S8 M8", """SELECT work_key, description, ls_term,
+  sanctioned_amount::DOUBLE + CASE WHEN order_id = 7 THEN 1 ELSE 0 END AS sanctioned_amount
+FROM works WHERE order_id % 50 <> 3""")
+def republished_works(t):
+    root = f"{shared_dir(t.spark)}/slots-{uuid.uuid4().hex}"
+    first = t.works.select("order_id", "work_key", "description", "ls_term",
+                           F.col("sanctioned_amount").cast("double").alias("sanctioned_amount"))
+    amount = F.col("sanctioned_amount") + F.when(F.col("order_id") == 7, 1).otherwise(0)
+    second = first.withColumn("sanctioned_amount", amount)
+    for df in (first, second, second.filter("order_id % 50 <> 3")):
+        publish.publish_slots(df, root, "works", ["work_key"])
+    return publish.read_slots(t.spark, root, "works").drop("order_id")
+
+
+@query("slot_prints", "S8 M8", """SELECT count(*) AS rows,
+  sum(('0x' || substr(h, 1, 15))::BIGINT)::VARCHAR AS sum_a,
+  bit_xor(('0x' || substr(h, 16, 15))::BIGINT) AS xor_b
+FROM (SELECT md5(concat_ws(chr(31), '=' || order_id, '=' || work_key)) AS h FROM works)""")
+def slot_prints(t):
+    # The hash that deals rows to slots is Spark's own; the prints of all slots add up.
+    prints = publish.slot_prints(t.works.select("order_id", "work_key"), ["work_key"])
+    return prints.agg(
+        F.sum("rows").alias("rows"),
+        F.sum(F.col("sum_a").cast("decimal(38,0)")).cast("string").alias("sum_a"),
+        F.bit_xor("xor_b").alias("xor_b"))
+
+
 @query("drop_orphans", "S7", """SELECT work_key, overall_risk_score FROM scored
 WHERE order_id % 4 <> 0""")
 def drop_orphans(t):

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.publish import current_version, publish, read_published
+
 DECISIONS = ("verified", "dismissed", "escalated")
 CLEAR = "pending"
 
@@ -55,3 +59,76 @@ def history(decisions: DataFrame, work_key: str, limit: int = 200) -> DataFrame:
         .orderBy(F.col("created_at").desc(), F.col("event_id").desc()).limit(limit)
         .select("status", "note", "reviewer", "created_at")
     )
+
+
+# --------------------------------------------------- the log as batches, compacted
+
+
+BATCHES, SNAPSHOT = "batches", "latest-events"
+EVENT = "work_key string, status string, note string, reviewer string, created_at timestamp, " \
+    "event_id bigint"
+
+
+def append_batch(good: DataFrame, root: str, batch: int) -> None:
+    """Write accepted events as a batch of the log under ``root``.
+
+    Batches are numbered by the one job that writes the log, each more than all before; a
+    number met twice fails, so that no batch can slip in behind a snapshot that covers it.
+    """
+    good.select(*[f.split()[0] for f in EVENT.split(", ")]).write.mode("errorifexists").parquet(
+        f"{root}/{BATCHES}/batch={int(batch)}")
+
+
+def _batches(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(f"{EVENT}, batch bigint").parquet(f"{root}/{BATCHES}")
+
+
+def _latest(events: DataFrame) -> DataFrame:
+    """Last event of each work, clears included: folding folds again gives the same."""
+    names = [f.split()[0] for f in EVENT.split(", ")]
+    return events.groupBy("work_key").agg(F.max_by(
+        F.struct(*names[1:]), F.struct("created_at", "event_id")).alias("last")).select(
+        "work_key", "last.*")
+
+
+def _covered(spark: SparkSession, root: str) -> int:
+    """Number of the last batch that the published snapshot holds; -1 without a snapshot."""
+    version = current_version(spark, root, SNAPSHOT)
+    return -1 if version is None else int(version.split("-")[0])
+
+
+def latest_events(spark: SparkSession, root: str) -> DataFrame:
+    """Last event of each work: the snapshot folded with the batches after it.
+
+    A late event, written after the snapshot but created before it, is weighed by its own time
+    like any other. Batches that the snapshot holds are pruned by their folders.
+    """
+    covered = _covered(spark, root)
+    tail = _batches(spark, root).filter(F.col("batch") > covered).drop("batch")
+    if covered < 0:
+        return _latest(tail)
+    return _latest(read_published(spark, root, SNAPSHOT).unionByName(tail))
+
+
+def compact(spark: SparkSession, root: str, through: int) -> int:
+    """Publish a snapshot of all batches up to ``through`` and say how many it took in.
+
+    It reads the last snapshot and the batches between; readers keep the last one until the new
+    one is whole. A number already covered changes nothing.
+    """
+    covered = _covered(spark, root)
+    if through <= covered:
+        return 0
+    between = _batches(spark, root).filter(F.col("batch").between(covered + 1, through))
+    taken = between.select("batch").distinct().count()
+    events = between.drop("batch")
+    if covered >= 0:
+        events = read_published(spark, root, SNAPSHOT).unionByName(events)
+    publish(_latest(events), root, SNAPSHOT, f"{int(through)}-{uuid.uuid4().hex}")
+    return taken
+
+
+def verdicts_of(latest: DataFrame) -> DataFrame:
+    """Current verdicts from the last events: a cleared work has none."""
+    return latest.filter(F.col("status") != CLEAR).select(
+        "work_key", "status", "note", "reviewer", F.col("created_at").alias("updated_at"))
