@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from worklens.operators import ledger
 from worklens.session import shared_dir
-from worklens.sources import publish
+from worklens.sources import publish, store
 
 
 @pytest.fixture
@@ -87,3 +87,49 @@ def test_snapshot_and_tail_equal_the_full_fold(spark, root, files_read):
     assert files_read(ledger.latest_events(spark, root), ledger.BATCHES) <= 2 * one
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         ledger.append_batch(spark.createDataFrame(events[:1], ledger.EVENT), root, 5)
+
+
+ROW = "key string, amount double, day int"
+
+
+def _stored_side_moves(df):
+    """Whether a shuffle stands between the join and the scan of the bucketed table."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in text, text
+    return "Exchange hashpartitioning(key#" in text
+
+
+def test_merge_by_key_moves_the_day_alone(spark):
+    stored = [(f"k{i}", float(i), 0) for i in range(400)]
+    kept = store.create(spark.createDataFrame(stored, ROW), "key", 6)
+    assert spark.table(kept.table).count() == 400
+    day = [("k7", 70.0, 2), ("k7", 71.0, 1), ("k8", None, 1), ("new", 1.0, 1), ("new", 2.0, 1),
+           (None, 9.0, 1)]
+    frame = spark.createDataFrame(day, ROW).withColumn("__key", F.lit("clash"))
+    both = store.merged(spark, kept, frame, "day")
+    assert not _stored_side_moves(both)
+    after = store.merge(spark, kept, frame, "day")
+    want = {k: (k, a, d) for k, a, d in stored} | {
+        "k7": ("k7", 70.0, 2), "k8": ("k8", None, 1), "new": ("new", 2.0, 1)}
+    assert _rows(after.rows(spark)) == sorted(want.values(), key=repr)
+    assert _rows(kept.rows(spark)) == sorted(stored, key=repr)
+    # A merged store is bucketed like the first: it merges again without moving.
+    again = store.merged(spark, after, frame.limit(0), "day")
+    assert _rows(again) == _rows(after.rows(spark))
+    assert not _stored_side_moves(store.merged(spark, after, frame, "day"))
+    files = len(after.rows(spark).inputFiles())
+    assert files <= 6
+
+
+def test_store_is_attached_again_and_refuses_bad_keys(spark):
+    df = spark.createDataFrame([("a", 1.0, 1), ("b", 2.0, 1)], ROW)
+    kept = store.create(df, "key", 3)
+    spark.sql(f"DROP TABLE {kept.table}")
+    store.attach(spark, kept, ROW)
+    assert _rows(kept.rows(spark)) == _rows(df)
+    assert not _stored_side_moves(store.merged(spark, kept, df, "day"))
+    empty = store.create(df.limit(0), "key", 3)
+    assert _rows(store.merge(spark, empty, df, "day").rows(spark)) == _rows(df)
+    for bad in ([("a", 1.0, 1), ("a", 1.0, 1)], [(None, 1.0, 1)]):
+        with pytest.raises(ValueError, match="key"):
+            store.create(spark.createDataFrame(bad, ROW), "key", 3)

@@ -9,7 +9,7 @@ from ..functions import text
 from ..operators import ingest, labels, peers, reconcile
 from ..plans import scoring
 from ..session import cut, shared_dir
-from ..sources import extracts, fixtures, publish, raw_fixtures, synthetic
+from ..sources import extracts, fixtures, publish, raw_fixtures, store, synthetic
 from .base_sql import HOUSE, SEAT, r
 from .registry import query
 
@@ -284,6 +284,24 @@ def slot_prints(t):
         F.bit_xor("xor_b").alias("xor_b"))
 
 
+@query("merged_works", "P4 P10", """SELECT work_key, description, ls_term,
+  sanctioned_amount::DOUBLE + CASE WHEN order_id % 10 = 3 THEN 2 ELSE 0 END AS sanctioned_amount,
+  CASE WHEN order_id % 10 IN (3, 4) THEN 2 ELSE 0 END AS day
+FROM works""")
+def merged_works(t):
+    rows = t.works.select("order_id", "work_key", "description", "ls_term",
+                          F.col("sanctioned_amount").cast("double").alias("sanctioned_amount"))
+    # Orders ending in 4 are new that day, those in 3 changed and met twice in its extract.
+    stored = store.create(rows.filter("order_id % 10 <> 4").select("*", F.lit(0).alias("day")),
+                          "work_key", 16)
+    changed = rows.filter("order_id % 10 = 3")
+    more = F.col("sanctioned_amount")
+    day = (rows.filter("order_id % 10 = 4").withColumn("day", F.lit(2))
+           .unionByName(changed.withColumns({"sanctioned_amount": more + 1, "day": F.lit(1)}))
+           .unionByName(changed.withColumns({"sanctioned_amount": more + 2, "day": F.lit(2)})))
+    return store.merge(t.spark, stored, day, "day").rows(t.spark).drop("order_id")
+
+
 @query("drop_orphans", "S7", """SELECT work_key, overall_risk_score FROM scored
 WHERE order_id % 4 <> 0""")
 def drop_orphans(t):
