@@ -81,3 +81,36 @@ def test_empty_table_clashing_and_unposted_columns(spark):
         postings.write_index(df.withColumn("Block", F.lit(1)), "/tmp/never", ["name"], ["key"])
     with pytest.raises(ValueError, match="not posted"):
         postings.candidates(index, ["note"], "abc")
+
+
+def test_rollup_counts_distinct_without_copying_rows(spark):
+    from worklens.plans import desks
+
+    cols = ("district string, implementing_agency string, mp_id string, work_status string, "
+            "risk_level string, sanctioned_amount decimal(18,2), expenditure decimal(18,2), "
+            "overall_risk_score double")
+    rows = [(f"d{i % 3}" if i % 5 else None, f"a{i % 7}", f"m{i % 11}" if i % 4 else None,
+             ("completed", "recommended", "open")[i % 3], ("LOW", "MEDIUM", "HIGH", None)[i % 4],
+             i, None if i % 6 else i, None if i % 9 == 0 else i / 10) for i in range(200)]
+    df = spark.createDataFrame([(*r[:5], *map(_money, r[5:7]), r[7]) for r in rows], cols)
+    got = desks.risk_rollup(df)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+    r = got.first().asDict()
+    scores = [x[7] for x in rows if x[7] is not None]
+    queue = [x for x in rows if x[4] in ("MEDIUM", "HIGH")]
+    assert r == {
+        "works": 200, "completed": 67, "pending": 67, "high_risk": 50, "in_queue": 100,
+        "sanctioned": float(sum(x[5] for x in rows)),
+        "expenditure": float(sum(x[6] or 0 for x in rows)),
+        "flagged_amount": float(sum(x[5] for x in queue)),
+        "districts": 3, "agencies": 7, "members": 11,
+        "avg_risk": pytest.approx(round(sum(scores) / len(scores), 1))}
+    none = desks.risk_rollup(df.limit(0)).first()
+    assert none["works"] == none["districts"] == 0 and none["avg_risk"] is None
+
+
+def _money(x):
+    from decimal import Decimal
+
+    return None if x is None else Decimal(x)

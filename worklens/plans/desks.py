@@ -14,6 +14,7 @@ from ..functions.text import OTHER, boundary_key, clean_name, seat
 from ..operators.detectors import with_limits
 from ..operators.quantiles import exact_percentiles
 from ..params import Params
+from ..session import cut
 from .queue import top_works
 
 
@@ -88,21 +89,40 @@ def filter_bands(scored) -> DataFrame:
 
 
 def risk_rollup(scope: DataFrame) -> DataFrame:
-    """Works-side totals of any scope, one definition for all of them."""
-    return scope.agg(
-        F.count(F.lit(1)).alias("works"),
-        count_where(F.col("work_status") == "completed").alias("completed"),
-        count_where(F.col("work_status") == "recommended").alias("pending"),
-        count_where(is_high()).alias("high_risk"),
-        count_where(in_queue()).alias("in_queue"),
-        total("sanctioned_amount").alias("sanctioned"),
-        total("expenditure").alias("expenditure"),
-        sum_where(in_queue(), "sanctioned_amount").alias("flagged_amount"),
-        F.countDistinct("district").alias("districts"),
-        F.countDistinct("implementing_agency").alias("agencies"),
-        F.countDistinct("mp_id").alias("members"),
-        mean_of("overall_risk_score", 1).alias("avg_risk"),
-    )
+    """Works-side totals of any scope, one definition for all of them.
+
+    The scope is read once, down to one row for each district, agency and member that meet in a
+    work; what is distinct is counted on those few rows, measure by measure, so that no work is
+    copied for every measure.
+    """
+    measures = {"districts": "district", "agencies": "implementing_agency", "members": "mp_id"}
+    score = F.col("overall_risk_score").cast("decimal(24,8)")
+    counts = {
+        "works": F.count(F.lit(1)),
+        "completed": count_where(F.col("work_status") == "completed"),
+        "pending": count_where(F.col("work_status") == "recommended"),
+        "high_risk": count_where(is_high()),
+        "in_queue": count_where(in_queue()),
+        "scored": F.count(score),
+    }
+    sums = {
+        "sanctioned": F.col("sanctioned_amount"),
+        "expenditure": F.col("expenditure"),
+        "flagged_amount": F.when(in_queue(), F.col("sanctioned_amount")),
+        "score": score,
+    }
+    met = cut(scope.groupBy(*measures.values()).agg(
+        *[c.alias(name) for name, c in counts.items()],
+        *[F.sum(c).alias(name) for name, c in sums.items()]), "rollup")
+    whole = met.agg(
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in counts if name != "scored"],
+        *[total(name).alias(name) for name in sums if name != "score"],
+        rounded(F.when(F.sum("scored") > 0, F.sum("score").cast("double") / F.sum("scored")), 1)
+        .alias("avg_risk"))
+    distinct = [met.agg(F.countDistinct(c).alias(name)) for name, c in measures.items()]
+    return _beside(whole, *distinct).select(
+        "works", "completed", "pending", "high_risk", "in_queue", "sanctioned", "expenditure",
+        "flagged_amount", *measures, "avg_risk")
 
 
 def queue_shares(rollup: DataFrame) -> DataFrame:
@@ -378,9 +398,9 @@ def late_forecast(scored, p: Params) -> tuple[DataFrame, DataFrame]:
         .filter(F.col("open_n") >= p.forecast_min_open)
         .withColumn("share", F.col("overdue_n") / F.col("open_n"))
     )
-    cut = exact_percentiles(rated, [], "share", {"cutoff_share": p.forecast_quantile},
+    line = exact_percentiles(rated, [], "share", {"cutoff_share": p.forecast_quantile},
                             "agencies_rated")
-    worst = rated.join(F.broadcast(cut)).filter(F.col("share") >= F.col("cutoff_share"))
+    worst = rated.join(F.broadcast(line)).filter(F.col("share") >= F.col("cutoff_share"))
     at_risk = open_works.filter(due).join(
         worst.select("implementing_agency", "share", "open_n", "overdue_n"),
         "implementing_agency")
@@ -389,7 +409,7 @@ def late_forecast(scored, p: Params) -> tuple[DataFrame, DataFrame]:
         F.countDistinct("implementing_agency").alias("agencies"),
         total("sanctioned_amount").alias("sanctioned"))
     in_window = open_works.filter(due).agg(F.count(F.lit(1)).alias("due_in_window"))
-    summary = _beside(in_window, late).join(F.broadcast(cut), how="left").select(
+    summary = _beside(in_window, late).join(F.broadcast(line), how="left").select(
         rounded("cutoff_share", 6).alias("cutoff_share"),
         F.coalesce("agencies_rated", F.lit(0)).alias("agencies_rated"),
         "due_in_window", "likely_late", "agencies", "sanctioned",
