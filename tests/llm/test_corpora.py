@@ -189,6 +189,20 @@ def test_factors_point_to_earlier_places(spark):
     assert got[0] == [] and [tuple(f) for f in got[1]] == [(3, 40, 0, 12)]
 
 
+def test_a_common_phrase_is_dealt_by_what_stands_beside_it(spark):
+    rng = random.Random(11)
+    said = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    phrases = [said(12) for _ in range(6)]
+    texts = [" ".join(sum(([*said(15), *p] for p in phrases), said(0)) + said(15))
+             for _ in range(300)]
+    docs = frame(spark, texts).select(
+        F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
+    most = docs.mapInArrow(repeats._index, repeats.STRETCH).groupBy("anchor").count().agg(
+        F.max("count")).first()[0]
+    assert most <= 3
+    assert repeats.without_repeats(frame(spark, texts)).agg(F.sum("n_removed")).first()[0] == 0
+
+
 def test_repeats_of_odd_rows(odd, none):
     got = {}
     for r in repeats.without_repeats(odd).collect():

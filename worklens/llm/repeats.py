@@ -1,10 +1,12 @@
 """Repeated passages by relative factoring: documents against blocks of indexed windows.
 
-A window is WINDOW consecutive words of one document. Every window is filed under its anchor,
-the run of GRAM words in it with the lowest hash (the rightmost of equal ones), so that equal
-windows are filed under equal anchors, and neighbouring windows mostly share one: a row holds
-an anchor, a stretch of neighbouring windows and a hash of each. The rows are dealt by anchor
-into blocks, the reference. In a block, each window whose words also start earlier is matched
+A window is WINDOW consecutive words of one document. Its lowest run is the run of GRAM words in
+it with the lowest hash (the rightmost of equal ones). Every window is filed under its anchor:
+the WIDE words that begin with the lowest run where that stands in the window's first half, and
+that end with it otherwise; these all lie in the window. So equal windows are filed under equal
+anchors, neighbouring windows mostly share one, and a common phrase of fewer than WIDE words is
+told apart by what stands beside it. A row holds an anchor, a stretch of neighbouring windows and
+a hash of each. The rows are dealt by anchor into blocks, the reference. In a block, each window whose words also start earlier is matched
 with the earliest place there. A document is then factored greedily: a factor goes on while its
 windows match places that follow one another in one earlier document; where it breaks off, the
 windows across the boundary are looked up on their own like all others, so that none is lost.
@@ -35,6 +37,9 @@ from .words import mix, words
 
 WINDOW = 20
 GRAM = 5
+#: Half the places that a run of GRAM words has in a window, and the words of an anchor.
+HALF = (WINDOW - GRAM + 1) // 2
+WIDE = GRAM + HALF
 #: Bytes kept of a window's hash; under one anchor they tell windows apart.
 HASH_BYTES = 6
 STRETCH = "anchor long, id long, start int, n int, hashes binary, ref_id long, ref_start int"
@@ -100,6 +105,10 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, hashes = w.gram(GRAM)
         runs[g] = hashes
         place = anchors(runs, WINDOW - GRAM + 1)[s]
+        place = np.where(place - s < HALF, place, place - HALF)
+        wide = np.zeros(len(w.doc), np.uint64)
+        g, hashes = w.gram(WIDE)
+        wide[g] = hashes
         doc = w.doc[s]
         start = s - w.first[doc]
         ids = np.array(part.column("id"))[doc]
@@ -121,7 +130,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = kept[begin]
         short = window[kept].view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(runs[place[head]].view(np.int64)), pa.array(ids[head]),
+            [pa.array(wide[place[head]].view(np.int64)), pa.array(ids[head]),
              pa.array(start[head].astype(np.int32)), pa.array(n.astype(np.int32)),
              _binary(np.ascontiguousarray(short), n * HASH_BYTES), pa.nulls(len(n), pa.int64()),
              pa.nulls(len(n), pa.int32())],
