@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric, risk
 from ..operators import detectors, peers, quantiles, vendors
 from ..plans import scoring
+from ..session import cut, joined_in_place
 from ..sources import fixtures
 from .base_sql import r, ramp
 from .registry import query
@@ -18,7 +19,10 @@ FROM scored"""
 
 @query("score_works", "E2-E13 A2 A3 A5 J2 P27", SCORE_SQL)
 def score_works(t):
-    return scoring.score_works(t.works, t.payments, t.p, t.similarity, use_forest=False)
+    scores = scoring.score_works(t.works, t.payments, t.p, t.similarity, use_forest=False)
+    # Written here: works and similarities lie by order and are joined without being moved.
+    with joined_in_place(t.spark):
+        return cut(scores, "score-works")
 
 
 @query("scored_view", "S10 J1", """SELECT s.work_key, s.work_name, s.state, s.district,
