@@ -8,7 +8,7 @@ from worklens.catalog.tables import Tables
 from worklens.operators import ingest
 from worklens.plans import scoring
 from worklens.session import IN_PLACE_KEY, cut_by, joined_in_place
-from worklens.sources import fixtures
+from worklens.sources import fixtures, publish
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,7 +49,7 @@ def test_scoring_and_the_view_move_no_whole_row(t):
     t.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         with joined_in_place(t.spark):
-            view = scoring.scored_view(t.works, t._scores, t.parts)
+            view = scoring.scored_view(t.works, t.scores_by_order, t.parts)
             assert moved(view) and not any("description" in c for c in moved(view))
             frame = scoring.attach_similarity(t.works, t.similarity)
             assert moved(frame) == []
@@ -83,3 +83,15 @@ def test_a_resembled_work_of_another_order_is_found(spark, t):
     assert len(rows) == 40
     assert {r["work_key"]: r["similar_work_key"] for r in rows if r["similar_work_key"]} == {
         keys[0]: keys[39], keys[3]: keys[39]}
+
+
+def test_orphans_are_dropped_where_they_lie(t):
+    kept = t.works.filter("order_id % 4 <> 0")
+    t.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with joined_in_place(t.spark):
+            found = publish.drop_orphans(t.scores_by_order, kept, ("order_id",))
+            assert moved(found) == []
+            assert same(found.drop("order_id"), publish.drop_orphans(t.scores, kept))
+    finally:
+        t.spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
