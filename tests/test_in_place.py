@@ -3,11 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from worklens.catalog.tables import Tables
-from worklens.operators import ingest
+from worklens.operators import ingest, peers
 from worklens.plans import scoring
-from worklens.session import IN_PLACE_KEY, cut_by, joined_in_place
+from worklens.session import IN_PLACE_KEY, cut, cut_by, joined_in_place
 from worklens.sources import fixtures, publish
 
 SF = "/root/testdata/sf0.001"
@@ -95,3 +96,27 @@ def test_orphans_are_dropped_where_they_lie(t):
             assert same(found.drop("order_id"), publish.drop_orphans(t.scores, kept))
     finally:
         t.spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_many_agencies_are_asked_for_where_the_works_lie(t, monkeypatch):
+    rates = cut(peers.agency_delay_rate(scoring.timed(t.works, t.p)), "rates")
+    t.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with joined_in_place(t.spark):
+            frame = t.works.withColumn(
+                "ls_term", F.when(F.col("order_id") % 3 != 0, F.col("ls_term"))).withColumn(
+                "implementing_agency",
+                F.when(F.col("order_id") % 5 != 0, F.col("implementing_agency")))
+            plain = scoring.attach_agencies(frame, rates, t.profile)
+            assert any("description" in c for c in moved(plain))
+            for few in (0, 10 ** 6):
+                found = scoring.attach_agencies(
+                    frame, rates, t.profile, ("order_id",), t.parts, few)
+                assert not any("description" in c for c in moved(found))
+                assert same(found.select(*plain.columns), plain)
+            monkeypatch.setattr(scoring.attach_agencies, "__defaults__", ((), None, 0))
+            scores = scoring.score_works(t.works, t.payments, t.p, t.similarity, False,
+                                         beside=("order_id",), parts=t.parts)
+            assert same(scores.select(*scoring.SCORE_COLUMNS), t.scores)
+    finally:
+        t.spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
