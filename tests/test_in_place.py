@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from worklens.catalog.tables import Tables
-from worklens.operators import ingest, peers
-from worklens.plans import scoring
+from worklens.operators import ingest, ledger, peers
+from worklens.plans import queue, scoring
 from worklens.session import IN_PLACE_KEY, cut, cut_by, joined_in_place
 from worklens.sources import fixtures, publish
 
@@ -120,3 +120,25 @@ def test_many_agencies_are_asked_for_where_the_works_lie(t, monkeypatch):
             assert same(scores.select(*scoring.SCORE_COLUMNS), t.scores)
     finally:
         t.spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_verdicts_are_made_and_joined_where_the_works_lie(t):
+    plain = ledger.current_verdict(*ledger.split_events(
+        ledger.accepted(t.review_events, t.works)[0]))
+    assert same(t.verdicts.drop("order_id"), plain) and not plain.isEmpty()
+    t.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with joined_in_place(t.spark):
+            good, refused = ledger.accepted(t.review_events, t.works, ("order_id",))
+            verdicts = ledger.current_verdict(good, beside=("order_id",))
+            assert moved(verdicts) == []
+            assert same(verdicts, t.verdicts)
+            assert same(refused, ledger.accepted(t.review_events, t.works)[1])
+        # The queues are planned with the session's own settings.
+        reviewed = queue.with_reviews(t.scored, t.verdicts)
+        assert moved(reviewed) == []
+        apart = queue.with_reviews(t.scored, plain)
+        assert any("description" in c for c in moved(apart))
+        assert same(reviewed.select(*apart.columns), apart)
+    finally:
+        t.spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
