@@ -48,6 +48,15 @@ def test_share_bins(value, share, index):
 # ------------------------------------------------------------------------ text
 
 
+def test_patterns_are_tried_on_texts_that_hold_a_keyword(spark):
+    rules = [("Lights", ["light", "mast"])]
+    one = spark.createDataFrame([("Lightship",), ("two masts",), ("",)], "x string")
+    plan = one.select(text.classify("x", rules))._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("Contains(") == 2
+    found = one.select(text.classify("x", rules).alias("s")).collect()
+    assert [r["s"] for r in found] == ["Other", "Lights", "Other"]
+
+
 @pytest.mark.parametrize("phrase,sector", [
     ("Twelve new lights by the bus stop", "Street Lighting"),
     ("Culverts under the old highway", "Roads & Paving"),

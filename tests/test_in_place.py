@@ -37,6 +37,11 @@ def test_views_of_dealt_lines_are_those_of_the_join(spark, t):
     assert same(t.review_events, fixtures.review_events(spark, SF))
 
 
+def test_payments_are_read_from_the_lines_and_not_written_again(t):
+    assert sorted(t.payments.inputFiles()) == sorted(t.lines.inputFiles())
+    assert moved(t.payments) == []
+
+
 def test_repeated_keys_are_found_where_they_lie(spark, t):
     seen = fixtures.works(spark, SF, t.lines)
     once = ingest.one_per_key(seen, "work_key", ("order_id",))
