@@ -4,6 +4,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -205,3 +206,42 @@ def test_unlisted_queries_equal_brute_force(spark, walked):
     assert max(v for v in row.asDict().values() if isinstance(v, int)) == listed + len(wanted)
     cards = _query(spark, "directory_with_unlisted")
     assert len(cards) == listed + len(wanted)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("abc ", max_size=70), st.lists(st.text("abcd ", max_size=90), min_size=1, max_size=8),
+       st.sampled_from([0.3, 0.62, 0.9]), st.integers(1, 3))
+def test_pool_best_equals_all_pairs(ours, theirs, least, most):
+    more = [0.1 * (k % 2) for k in range(len(theirs))]
+    scored = sorted((-(names.pair_score(ours, n) + more[k]), k) for k, n in enumerate(theirs) if ours and n)
+    wanted = [(-s, k) for s, k in scored if -s >= least][:most]
+    assert names.pool_best(ours, names.Pool(theirs), least, np.array(more), most) == wanted
+
+
+def test_few_names_are_aligned(monkeypatch):
+    """Of many names over the floor only those are aligned that may be the best."""
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("ra me sh ku an lo ti".split()) for _ in range(3))
+    pool, met, real = names.Pool([f"{word()} {word()}" for _ in range(1000)]), [], names.Pool.score
+    monkeypatch.setattr(names.Pool, "score", lambda p, a, k, o: met.append(k) or real(p, a, k, o))
+    asked = [f"{word()} {word()}" for _ in range(20)]
+    over = sum((names.pool_scores(a, pool, 0.5) >= 0.5).sum() for a in asked)
+    met.clear()
+    assert all(names.pool_best(a, pool, 0.5) for a in asked) and len(met) < over / 3
+
+
+def test_namesakes_with_records_of_their_own_are_settled(spark):
+    rows = [("m1", 18, "ra me", "Seat a", "Sx", "Lok Sabha"), ("m2", 18, "ra me", "Seat b", "Sx", "Lok Sabha"),
+            ("m3", 18, "ku an", "Seat a", "Sx", "Lok Sabha"), ("m4", 18, "ku an", "Seat a", "Sx", "Lok Sabha")]
+    theirs = [(1, 18, "me ra", "Sx", "Seat a", None), (2, 18, "me ra", "Sx", "Seat b", None),
+              (3, 18, "an ku", "Sx", "Seat a", None)]
+    house = matching._Lower(spark.createDataFrame(rows, OURS), spark.createDataFrame(theirs, LOWER))
+    assert sorted((r.mp_id, r.reg_id) for r in house.sure.collect()) == [("m1", 1), ("m2", 2)]
+    assert sorted(r.mp_id for r in house.open.collect()) == ["m3", "m4"]
+
+
+@pytest.mark.parametrize("listed", [1, 2])
+def test_a_used_up_list_is_read_on(spark, monkeypatch, listed):
+    monkeypatch.setattr(matching._Lower.__init__, "__defaults__", (listed,))
+    ours, roster = _drawn(spark, 6, 60, 2, 1)
+    assert _got(matching.resolve_contested(ours, roster)) == _walk(*_plain(ours, roster))
