@@ -114,3 +114,19 @@ def _money(x):
     from decimal import Decimal
 
     return None if x is None else Decimal(x)
+
+
+def test_postings_are_made_where_the_blocks_lie(spark, tmp_path):
+    """Every run of every row is posted once, also of odd letters, and nothing is shuffled for it."""
+    texts = ["Old Road", "old road", "", None, "aaaaaa", "a", "ab", "\U0001F600 xİß", "ΣΣ ẞ"]
+    df = spark.createDataFrame([(k, texts[k % 9], texts[(k * 5) % 7]) for k in range(500)],
+                               "key int, name string, town string")
+    index = postings.write_index(df, str(tmp_path / "index"), ["name", "town"], ["key"], 90)
+    assert "Exchange" not in postings._post(index.store, ["name"])._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.field, r.run, r.block, p) for r in index.postings.collect() for p in r.places)
+    wanted = set()
+    for field in ("name", "town"):
+        for r in index.store.select("block", "place", F.lower(field).alias("low")).collect():
+            low = (r.low or "") + postings.PAD * 2
+            wanted |= {(field, low[i:i + 3], r.block, r.place) for i in range(len(low) - 2)}
+    assert got == sorted(wanted)
